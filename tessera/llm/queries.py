@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .packing import pack
 from .sharding import shard_documents
+from .substring import dedup_substrings
 
 
 def tokenizer_file(name: str) -> str:
@@ -19,9 +20,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), shards=8)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op4_packing)}
 ORACLE_SQL: dict[str, str] = {}
