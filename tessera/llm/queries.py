@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .packing import pack
 from .sharding import shard_documents
+from .simhash import dedup_simhash
 from .substring import dedup_substrings
 
 
@@ -28,5 +29,9 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op4_packing)}
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_simhash(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op4_packing, op9_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
