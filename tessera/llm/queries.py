@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .language import identify
+from .lexicon import code
 from .packing import pack
 from .sharding import shard_documents
 from .simhash import dedup_simhash
@@ -30,6 +31,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
@@ -38,5 +43,5 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_simhash(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op4_packing, op8_language_id, op9_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op4_packing, op7_bpe, op8_language_id, op9_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
