@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents
 from .language import identify
 from .lexicon import code
+from .lines import LINES_SQL, dedup_lines
 from .packing import pack
+from .quality import QUALITY_SQL, quality_rules
 from .sharding import shard_documents
 from .simhash import dedup_simhash
 from .substring import dedup_substrings
@@ -31,6 +33,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256)
+    return dedup_lines(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
@@ -43,5 +54,5 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_simhash(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op4_packing, op7_bpe, op8_language_id, op9_simhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op4_packing, op5_line_dedup, op6_quality_rules, op7_bpe, op8_language_id, op9_simhash_near_dedup)}
+ORACLE_SQL = {"op5_line_dedup": LINES_SQL, "op6_quality_rules": QUALITY_SQL}
