@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents
+from .cover_tree import dedup_embeddings
 from .language import identify
 from .lexicon import code
 from .lines import LINES_SQL, dedup_lines
@@ -54,5 +55,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_simhash(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op4_packing, op5_line_dedup, op6_quality_rules, op7_bpe, op8_language_id, op9_simhash_near_dedup)}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op4_packing, op5_line_dedup, op6_quality_rules, op7_bpe, op8_language_id, op9_simhash_near_dedup, op10_embedding_near_dedup)}
 ORACLE_SQL = {"op5_line_dedup": LINES_SQL, "op6_quality_rules": QUALITY_SQL}
