@@ -14,6 +14,7 @@ from .quality import QUALITY_SQL, quality_rules
 from .sharding import shard_documents
 from .simhash import dedup_simhash
 from .substring import dedup_substrings
+from .suffix import dedup_bytes
 
 
 def tokenizer_file(name: str) -> str:
@@ -30,6 +31,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
@@ -59,5 +64,5 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op4_packing, op5_line_dedup, op6_quality_rules, op7_bpe, op8_language_id, op9_simhash_near_dedup, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_suffix_dedup, op4_packing, op5_line_dedup, op6_quality_rules, op7_bpe, op8_language_id, op9_simhash_near_dedup, op10_embedding_near_dedup)}
 ORACLE_SQL = {"op5_line_dedup": LINES_SQL, "op6_quality_rules": QUALITY_SQL}
