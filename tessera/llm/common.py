@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -43,3 +44,18 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 
 def plain_id(column: str = "doc_id") -> Column:
     return F.col(column).cast("long").alias(column)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder, read back; for whole documents, which checkpoint() would store uncompressed."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def with_text(df: DataFrame, text: Column, columns: list[str]) -> DataFrame:
+    """The columns of df, with a new text and, where there is one, its length in n_chars."""
+    changed = {"text": text} | ({"n_chars": F.length(text).cast(df.schema["n_chars"].dataType)} if "n_chars" in columns else {})
+    return df.withColumns({f"_new_{c}": v for c, v in changed.items()}).select(*[F.col(f"_new_{c}").alias(c) if c in changed else F.col(f"`{c}`") for c in columns])

@@ -13,16 +13,11 @@ from .packing import pack
 from .quality import QUALITY_SQL, quality_rules
 from .sharding import shard_documents
 from .simhash import dedup_simhash
+from .stages import tokenizer_file
 from .substring import dedup_substrings
 from .suffix import dedup_bytes
 
 
-def tokenizer_file(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), shards=8)
 
