@@ -41,3 +41,13 @@ def previous_in_transaction(log: DataFrame, transaction: str, lsn: str) -> DataF
     from pyspark.sql import Window
 
     return log.withColumn("prev_" + lsn, F.lag(lsn).over(Window.partitionBy(transaction).orderBy(lsn)))
+
+
+def group_apply(df: DataFrame, key: str, apply, schema) -> DataFrame:
+    """A function of each group's rows (pandas in, pandas out); a group must fit a task's memory."""
+    return df.groupBy(key).applyInPandas(apply, schema)
+
+
+def routed(df: DataFrame, queue: Column, queues: int) -> DataFrame:
+    """Rows dealt to queues by any expression."""
+    return df.withColumn("queue", F.pmod(queue, F.lit(queues))).repartition(queues, "queue")

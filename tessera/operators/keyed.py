@@ -110,3 +110,21 @@ def counters(table: DataFrame, steps: DataFrame, key: str, value: str, step: str
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same rows as often."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def children_of(entries: DataFrame, path: str, key: str, children: str) -> DataFrame:
+    """A path's entry lists its children's keys; their own entries, in one join."""
+    listed = entries.filter(F.col(key) == path).select(F.explode(children).alias("_child"))
+    return entries.join(listed, F.col(key) == F.col("_child"), "left_semi")
+
+
+def appended(table: DataFrame, position: str, value: Column, count: int) -> DataFrame:
+    """A positional table extended by so many rows of one value; positions go on from the last."""
+    last = table.agg(F.coalesce(F.max(position), F.lit(-1)).alias("_last"))
+    more = table.sparkSession.range(count).crossJoin(F.broadcast(last))  # one row
+    return table.unionByName(more.select((F.col("_last") + 1 + F.col("id")).alias(position), value.alias(next(c for c in table.columns if c != position))))
+
+
+def for_each_matching(df: DataFrame, key: str, prefix: str, where: Column | None, apply) -> None:
+    """Runs a function on the executors for every row with the prefix that passes the predicate."""
+    prefix_scan(df, key, prefix, where).foreach(apply)

@@ -113,3 +113,19 @@ def advanced(old: int, new: int) -> int:
 def write_component(df: DataFrame, path: str, order: Sequence[str]) -> None:
     """A component as Parquet files, each sorted, so that ranges prune row groups."""
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+
+
+def write_encoded(df: DataFrame, path: str, order: Sequence[str], dictionary: Sequence[str] = (), bloom: Sequence[str] = ()) -> None:
+    """A sorted component with encodings chosen by column: dictionaries for the named ones, delta encodings for other
+    whole numbers, and Bloom filters for columns that are looked up by value."""
+    writer = df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false")
+    for c in dictionary:
+        writer = writer.option(f"parquet.enable.dictionary#{c}", "true")
+    for c in bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.parquet(path)
+
+
+def component_sizes(df: DataFrame) -> DataFrame:
+    """Rows and files behind a component's folder."""
+    return df.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"))

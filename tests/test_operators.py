@@ -191,3 +191,34 @@ def test_streamed_newest(spark, tmp_path):
     q = newest_in_stream(stream_folder(spark, f"{tmp_path}/in", data.schema), ["k"]).writeStream.outputMode("complete").format("memory").queryName("newest").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.table("newest")) == [(k, 2 * (45 + k)) for k in range(5)]
+
+
+def test_paths_positions_and_callbacks(spark, tmp_path):
+    tree = spark.createDataFrame([("/", ["/a", "/b"], 0), ("/a", [], 1), ("/b", ["/b/c"], 2), ("/b/c", [], 3)], "k string, children array<string>, v int")
+    assert rows(keyed.children_of(tree, "/", "k", "children").select("k", "v")) == [("/a", 1), ("/b", 2)]
+    grown = keyed.appended(spark.range(3).select(F.col("id").alias("p"), F.lit(1).alias("v")), "p", F.lit(0), 2)
+    assert rows(grown) == [(0, 1), (1, 1), (2, 1), (3, 0), (4, 0)]
+    seen = spark.sparkContext.accumulator(0)
+    keyed.for_each_matching(tree, "k", "/b", F.col("v") > 2, lambda r: seen.add(r.v))
+    assert seen.value == 3
+
+
+def test_encoded_component(spark, tmp_path):
+    df = spark.range(1000).select((F.col("id") % 10).alias("a"), F.col("id").alias("b"))
+    V.write_encoded(df, f"{tmp_path}/c", ["a", "b"], dictionary=["a"], bloom=["b"])
+    back = spark.read.parquet(f"{tmp_path}/c")
+    assert keyed.same_rows(back, df) and V.component_sizes(back).agg(F.sum("rows")).first()[0] == 1000
+
+
+def test_group_functions(spark):
+    from tessera.functions.registry import register, scalar_function
+
+    df = spark.range(20).select((F.col("id") % 4).alias("k"), F.col("id").alias("v"))
+    out = dataflow.group_apply(df, "k", lambda g: g.groupby("k", as_index=False).v.sum(), "k long, v long")
+    assert rows(out) == rows(df.groupBy("k").agg(F.sum("v").alias("v")))
+    assert dataflow.routed(df, F.col("k"), 3).where("queue > 2").count() == 0
+    register(spark)
+    assert rows(spark.sql("SELECT * FROM runs(array(5L, 5L, 7L))")) == [(0, 2, 5), (2, 1, 7)]
+    assert scalar_function("log2_floor") is S.log2_floor
+    with pytest.raises(KeyError):
+        scalar_function("nothing")
