@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import scalar as S
 from .operators import dataflow, encodings, graph, keyed, sketches, versioned as V
+from .plans.parser import parse
 from .plans.planner import Planner
 from .sources.catalog import Engine
 from .sources.formats import tuple_lines
@@ -38,18 +39,13 @@ def language(name: str, text: str, sql: str) -> None:
     """Registers a query of the engine's own language."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return Planner(lambda t: table(spark, sf_dir, t), lambda: ["nation", "region"]).plan(PARSE(text)).output()
+        planner = Planner(lambda t: table(spark, sf_dir, t), lambda: ["nation", "region"])
+        return planner.plan(parse(f"query {text}")[0].source).output()
 
     run.__name__ = name
     query(sql)(run)
 
 
-def PARSE(text: str):
-    from .plans.parser import parse
-
-    return parse(f"query {text}")[0].source
-
-
 # The query language ---------------------------------------------------------------------------------
 
 language("scan", "nation", "SELECT * FROM nation")
