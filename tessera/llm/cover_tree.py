@@ -42,8 +42,8 @@ CELL_ROWS = 4096
 MOST_PIVOTS = 64
 #: Points of a leaf, at most.
 LEAF = 24
-#: Rows of a matrix product.
-BLOCK = 1024
+#: Entries of a matrix of distances, about.
+CELLS = 1 << 21
 #: Slack of bounds against rounding; the threshold itself has none.
 EPS = 1e-9
 
@@ -82,18 +82,25 @@ class CoverTree:
             while width / 2 >= self.radius[node] and width > EPS:  # levels on which the node is its own only child
                 width /= 2
             width /= 2
-            left, centre = self.order[lo:hi].copy(), self.centre[node]
+            own = self.centre[node]
+            members = self.order[lo:hi]
+            left = np.concatenate([[own], members[members != own]])  # the node's own centre comes first
             at, parts = lo, []
             while len(left):
-                apart = self.distances(centre, left)
-                near = (apart <= width) | (left == centre)
-                inside = left[near]
-                self.order[at : at + len(inside)] = inside
-                parts.append(self.add(centre, at, at + len(inside), float(apart[near].max())))
-                at += len(inside)
-                left = left[~near]
-                if len(left):
-                    centre = int(left[0])
+                # The distances of the next points to all that are left, in one product; then greedily among them.
+                some = left[: max(1, CELLS // len(left))]
+                apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (self.points[some] @ self.points[left].T)))
+                free = np.ones(len(left), bool)
+                for k in range(len(some)):
+                    if free[k]:
+                        near = free & (apart[k] <= width)
+                        near[k] = True
+                        inside = left[near]
+                        self.order[at : at + len(inside)] = inside
+                        parts.append(self.add(int(some[k]), at, at + len(inside), float(apart[k][near].max())))
+                        at += len(inside)
+                        free &= ~near
+                left = left[free]
             self.children[node] = parts
             waiting += [(p, width) for p in parts]
 
@@ -128,8 +135,9 @@ def linked_points(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[n
                 yield p, q, False
             continue
         us, vs = np.array(a.parts(u)), np.array(b.parts(v))
-        for k in range(0, len(us), BLOCK):
-            x = us[k : k + BLOCK]
+        block = max(1, CELLS // len(vs))
+        for k in range(0, len(us), block):
+            x = us[k : k + block]
             apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (ca[x] @ cb[vs].T)))
             i, j = np.nonzero(apart <= ra[x][:, None] + rb[vs][None, :] + reach + EPS)
             far = apart[i, j] + ra[x][i] + rb[vs][j]
@@ -198,11 +206,17 @@ def pair_tasks(points: DataFrame, cosine: float, cell_rows: int, most_pivots: in
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for vector, pivots in zip(batch.column(2).to_pylist(), batch.column(5), strict=True):
-                own = unit(np.array([vector], float))[0]
-                p = pivots.as_py()
-                found.append(np.sqrt(np.maximum(0.0, 2 - 2 * (unit(np.array(p, float)) @ own))).tolist() if p else [0.0])
+            found: list = [[0.0]] * batch.num_rows
+            rows: dict[tuple, list[int]] = {}
+            for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True)):
+                rows.setdefault(key, []).append(k)
+            for at in rows.values():
+                pivots = batch.column(5)[at[0]].as_py()  # those of the label and length
+                if pivots:
+                    own = unit(matrix(batch.column(2).take(pa.array(at))))
+                    apart = np.sqrt(np.maximum(0.0, 2 - 2 * (own @ unit(np.array(pivots, float)).T)))
+                    for k, row in zip(at, apart.tolist(), strict=True):
+                        found[k] = row
             home = [int(np.argmin(d)) for d in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.list_(pa.float64())), pa.array(home, pa.int32())], names=[*batch.schema.names[:5], "apart", "home"])
 
