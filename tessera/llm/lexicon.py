@@ -5,7 +5,7 @@ automaton (states with equal suffixes are shared); each state knows how many wor
 walking a word sums up to the word's number in sorted order, under which its ids are stored. All of it
 is a few flat arrays in one file, which Spark ships to the executors and every Python worker maps
 into memory, so workers of a machine share its pages. Words that the lexicon lacks are merged exactly, by the
-vocabulary's merges in rank order; a worker keeps what it has looked up or merged.
+library's model of the vocabulary's merges; a worker keeps what it has looked up or merged.
 
 Frequent words: every batch of documents counts its words and passes its most frequent ones on
 (``batch_words``); sums are taken over all batches of the whole corpus, and the ``max_words`` most
@@ -20,6 +20,7 @@ table gives no rows; rows that repeat are encoded each. Other columns are not re
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
@@ -33,18 +34,18 @@ import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer
 
 MAX_WORDS = 60_000
 BATCH_WORDS = 4_000
 #: Words that a worker keeps beside the lexicon.
 MEMO = 300_000
-#: Longer words are merged each time.
+#: Longer words are not looked up in the lexicon.
 LONGEST = 48
-#: The vocabulary's cut of lower-case text, for ASCII and for the rest, and its mark of a word's end.
+#: The vocabulary's cut of lower-case text, for ASCII and for the rest.
 ASCII_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 WIDE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WIDE_CUT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WIDE_SPACE}\p{{L}}\p{{N}}]+")
-WORD_END = "</w>"
 #: Up to here composition (NFC) changes nothing and lower case is the same everywhere, but for one letter.
 LATIN_END, UNLIKE = "\u024f", "\u0130"
 
@@ -67,6 +68,7 @@ class Automaton:
 
     def __init__(self, arrays: dict[str, np.ndarray]) -> None:
         self.first, self.byte, self.target, self.before, self.final = (arrays[f] for f in self.FIELDS)
+        self.edges, self.views = self.byte.tobytes(), [memoryview(a) for a in (self.first, self.target, self.before)]
 
     @classmethod
     def compiled(cls, strings: list[bytes]) -> Automaton:
@@ -111,14 +113,14 @@ class Automaton:
 
     def number(self, string: bytes) -> int:
         """The string's place among all in sorted order, or -1."""
-        state, passed = int(self.first[-1]), 0
-        for b in string:
-            lo, hi = int(self.first[state]), int(self.first[state + 1])
-            k = lo + int(np.searchsorted(self.byte[lo:hi], b))
-            if k == hi or self.byte[k] != b:
+        first, target, before = self.views
+        find, state, passed = self.edges.find, first[-1], 0
+        for k in range(len(string)):
+            edge = find(string[k : k + 1], first[state], first[state + 1])
+            if edge < 0:
                 return -1
-            passed += int(self.before[k])
-            state = int(self.target[k])
+            passed += before[edge]
+            state = target[edge]
         return passed if self.final[state] else -1
 
 
@@ -161,40 +163,19 @@ class Lexicon:
 
 
 class Merger:
-    """The vocabulary: exact merges of a word, and the strings of ids."""
+    """The vocabulary: exact merges of a word by the library's BPE model, and the strings of ids."""
 
     def __init__(self, tokenizer_file: str) -> None:
-        with open(tokenizer_file, encoding="utf-8") as f:
-            told = json.load(f)
-        model = told["model"]
-        self.ids: dict[str, int] = model["vocab"]
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
-        self.strings = {i: s for s, i in self.ids.items()} | {t["id"]: t["content"] for t in told["added_tokens"]}
-        self.special = [t["content"] for t in told["added_tokens"]]
-        self.alphabet = byte_alphabet()
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.strings = {i: s for s, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.alphabet = dict(enumerate(byte_alphabet()))
 
     def merged(self, word: str) -> list[int]:
-        """Joins the pair of lowest rank, everywhere from the left, until no pair is known."""
-        parts = [self.alphabet[b] for b in word.encode()]
-        parts[-1] += WORD_END
-        ranks, no = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            pairs = list(zip(parts, parts[1:], strict=False))
-            best = min([ranks.get(p, no) for p in pairs])
-            if best == no:
-                break
-            left, right = next(p for p in pairs if ranks.get(p, no) == best)
-            out, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and parts[k] == left and parts[k + 1] == right:
-                    out.append(left + right)
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        return [self.ids[p] for p in parts if p in self.ids]
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
 
 
 def cut(text: str) -> list[str]:
@@ -203,37 +184,25 @@ def cut(text: str) -> list[str]:
 
 
 class Coder(dict):
-    """Encodes and decodes texts. As a dict: word -> (number of ids, the ids and the tokens as text), filled on demand."""
+    """Encodes and decodes texts. As a dict: word -> its ids as text; ``tokens`` has its decoded text. Both are filled on demand."""
 
-    def __init__(self, merger: Merger, lexicon: Lexicon, tokenizer_file: str) -> None:
+    def __init__(self, merger: Merger, lexicon: Lexicon) -> None:
         super().__init__()
-        self.merger, self.lexicon, self.file, self.whole = merger, lexicon, tokenizer_file, None
+        self.merger, self.lexicon, self.tokens = merger, lexicon, {}
 
-    def __missing__(self, word: str) -> tuple[int, str, str]:
+    def __missing__(self, word: str) -> str:
         ids = (self.lexicon.ids_of(word.encode()) if len(word) <= LONGEST else None) or self.merger.merged(word)
-        entry = len(ids), " ".join(map(str, ids)), self.decoded(ids)
-        if len(word) <= LONGEST:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = entry
-        return entry
+        self.tokens[word] = self.decoded(ids)
+        self[word] = text = " ".join(map(str, ids))
+        return text
 
     def by_word(self, text: str) -> bool:
         return not any(s in text for s in self.merger.special) and (text.isascii() or max(text) <= LATIN_END and UNLIKE not in text)
 
-    def tokenizer(self):
-        if self.whole is None:
-            from tokenizers import Tokenizer
-
-            self.whole = Tokenizer.from_file(self.file)
-            self.whole.no_truncation()
-            self.whole.no_padding()
-        return self.whole
-
     def encoded(self, text: str) -> list[int]:
         if not self.by_word(text):
-            return self.tokenizer().encode(text, add_special_tokens=False).ids
-        return [int(i) for w in cut(text) for i in self[w][1].split()]
+            return self.merger.tokenizer.encode(text, add_special_tokens=False).ids
+        return [int(i) for w in cut(text) for i in self[w].split()]
 
     def decoded(self, ids: list[int]) -> str:
         """The vocabulary names no decoder, so tokens are joined by spaces as they are."""
@@ -242,12 +211,21 @@ class Coder(dict):
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, and the ids' and the decoded text's SHA-256."""
         if self.by_word(text):
-            found = [e for e in map(self.__getitem__, cut(text)) if e[0]]
-            n, ids, tokens = sum([e[0] for e in found]), " ".join([e[1] for e in found]), " ".join([e[2] for e in found])
+            words = cut(text)
+            ids, tokens = " ".join(map(self.__getitem__, words)), " ".join(map(self.tokens.__getitem__, words))
         else:
             numbers = self.encoded(text)
-            n, ids, tokens = len(numbers), " ".join(map(str, numbers)), self.decoded(numbers)
-        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(tokens.encode()).hexdigest()
+            ids, tokens = " ".join(map(str, numbers)), self.decoded(numbers)
+        if len(self) > MEMO:
+            self.clear()
+            self.tokens.clear()
+        return ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(tokens.encode()).hexdigest()
+
+
+@functools.lru_cache(maxsize=1)
+def coder(tokenizer_file: str, lexicon_file: str) -> Coder:
+    """One for all tasks of a Python worker."""
+    return Coder(Merger(tokenizer_file), Lexicon.mapped(lexicon_file))
 
 
 def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS, batch_words: int = BATCH_WORDS) -> list[str]:
@@ -284,15 +262,15 @@ def code(docs: DataFrame, tokenizer_file: str, with_ids: bool = False, **bounds:
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(Merger(tokenizer_file), Lexicon.mapped(SparkFiles.get(name)), tokenizer_file)
+        own = coder(tokenizer_file, SparkFiles.get(name))
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(1)]
-            found = [coder.digests(t) for t in texts]
+            found = [own.digests(t) for t in texts]
             columns = [batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                ids = [coder.encoded(t) for t in texts]
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array([coder.decoded(i) for i in ids], pa.string())]
+                ids = [own.encoded(t) for t in texts]
+                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array([own.decoded(i) for i in ids], pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
