@@ -63,15 +63,14 @@ class Model:
         self.langs = langs
         self.words = {w: k for k, w in enumerate(words)}
         self.word_scores = self.scores(list(words.values()))
+        # Rows of n-grams by length; scores are shares of the n-grams of that length.
         self.parts = {n: {} for n in range(1, GRAM + 1)}
-        by_length: dict[int, list[str]] = {}
         for p in parts:
-            by_length.setdefault(len(p), []).append(p)
-        for n, known in by_length.items():
-            self.parts[n] = dict(zip(known, self.scores([parts[p] for p in known]), strict=True))
+            self.parts[len(p)][p] = len(self.parts[len(p)])
+        self.part_scores = {n: self.scores([parts[p] for p in known]) for n, known in self.parts.items()}
 
     def scores(self, counts: list[list[int]]) -> np.ndarray:
-        table = np.array(counts, float).reshape(-1, len(self.langs)) + 0.5
+        table = np.array(counts, float).reshape(len(counts), len(self.langs)) + 0.5
         return np.log(table / table.sum(axis=0))
 
     def unseen(self, word: str) -> np.ndarray:
@@ -79,7 +78,7 @@ class Model:
             known = self.parts[n]
             found = [known[g] for g in grams(word, n) if g in known]
             if found:
-                return np.mean(found, axis=0)
+                return self.part_scores[n][found].sum(axis=0) / len(found)
         return np.zeros(len(self.langs))
 
 
@@ -92,43 +91,43 @@ class Scorer:
 
     def reset(self) -> None:
         self.place = dict(self.model.words)
-        size = len(self.place) + MEMO
-        self.table = np.zeros((size, len(self.model.langs)))
+        self.table = np.zeros((len(self.place) + MEMO, len(self.model.langs)))
         self.table[: len(self.place)] = self.model.word_scores
 
-    def at(self, word: str) -> int:
-        k = self.place.get(word)
-        if k is None:
-            if len(self.place) == len(self.table):
-                self.reset()
-            k = len(self.place)
-            self.table[k] = self.model.unseen(word)
-            self.place[word] = k
-        return k
+    def rows(self, words: list[str]) -> list[int]:
+        """The words' rows in the table; words without one get theirs."""
+        place = self.place
+        found = list(map(place.get, words))
+        if None in found:
+            for k, row in enumerate(found):
+                if row is None:
+                    row = found[k] = place[words[k]] = len(place)
+                    self.table[row] = self.model.unseen(words[k])
+        return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text) if text and self.model.langs else []
         if not words:
             return UNKNOWN, 0.0
-        counts: Counter[str] = Counter()
-        for word, n in Counter(words).items():
-            if len(word) <= LONGEST:
-                counts[word] = counts.get(word, 0) + n
-            else:
-                for k in range(0, len(word), LONGEST):
-                    counts[word[k : k + LONGEST]] += n
+        counts = Counter(words)
+        if max(map(len, counts)) > LONGEST:
+            counts = Counter(w[k : k + LONGEST] for w in words for k in range(0, len(w), LONGEST))
+        distinct, numbers = list(counts), np.array(list(counts.values()), float)
         total = np.zeros(len(self.model.langs))
-        items = list(counts.items())
-        for k in range(0, len(items), MEMO // 4):
-            part = items[k : k + MEMO // 4]
+        for k in range(0, len(distinct), MEMO):
+            part = distinct[k : k + MEMO]
             if len(self.place) + len(part) > len(self.table):
                 self.reset()
-            rows = [self.at(w) for w, _ in part]
-            total += np.array([n for _, n in part], float) @ self.table[rows]
+            total += numbers[k : k + MEMO] @ self.table[self.rows(part)]
         best = int(total.argmax())
         return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
+def _cutter(text: Column, n: int):
+    """A function of one column, as transform() counts parameters."""
+    return lambda k: F.substring(text, k, F.lit(n))
+
+
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """The model from the labelled documents that are not held out; its tables come to the driver, bounded by the last two."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
@@ -137,7 +136,8 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, max_words: int = MAX_WORD
     counts = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).cache()
     try:
         marked = F.concat(F.lit("^"), F.substring("word", 1, LONGEST), F.lit("$"))
-        cut = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda k, n=n: F.substring(marked, k, F.lit(n))) for n in range(1, GRAM + 1)]))
+        starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1)))
+        cut = F.flatten(F.array(*[F.transform(starts(n), _cutter(marked, n)) for n in range(1, GRAM + 1)]))
         langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # languages, not documents
 
         def top(pairs: DataFrame, item: str, most: int) -> dict[str, list[int]]:
