@@ -98,7 +98,8 @@ class Block:
         new[1:] = (named[1:] != named[:-1]) | (self.starts[1:] != self.starts[:-1] + 1)
         at = np.flatnonzero(new)
         lo, hi = self.starts[at], self.starts[np.append(at[1:], len(named)) - 1]
-        return self.half[named[at]], self.prefixes.names(lo, hi + self.length), lo, hi
+        # Mixed again, as ranks that are the smallest of many would meet in the first buckets.
+        return mix(self.half[named[at]]), self.prefixes.names(lo, hi + self.length), lo, hi
 
     def whole(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks at the whole length, 64 bits and 32 more."""
