@@ -175,7 +175,9 @@ def compare_cells(group: pa.Table, cosine: float) -> pa.Table:
     links, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
     one, two = np.flatnonzero(~second), np.flatnonzero(second)
     a = CoverTree(points[one])
-    b, other = (CoverTree(points[two]), two) if len(two) else (a, one)
+    # A task of two cells may hold points of one only, as reach is one-sided; then there is nothing to compare.
+    itself = group.column("first")[0] == group.column("last")[0]
+    b, other = (a, one) if itself else (CoverTree(points[two]), two)
     for p, q, whole in linked_points(a, b, cosine):
         p, q = one[p], other[q]
         if not whole:

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import cover_tree, language, lexicon
@@ -115,6 +116,22 @@ def test_embedding_dedup(spark, cell_rows, cosine):
     assert cover_tree.dedup_embeddings(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cell_rows", [10, 40])
+def test_embedding_dedup_counts_a_link_once_across_uneven_cells(spark, cell_rows):
+    draw = np.random.default_rng(7)
+    centres = draw.normal(size=(6, 8))
+    data = [(k, [float(np.float32(x)) for x in centres[k % 6] + draw.normal(size=8) * (0.02, 0.02, 0.02, 0.05, 0.5, 1.5)[k % 6]], 0) for k in range(240)]
+    out = cover_tree.dedup_embeddings(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int"), 0.98, cell_rows).collect()
+    assert Counter(tuple(r) for r in out) == brute_links(data, 0.98)
+
+
+def test_pair_task_with_points_of_one_cell_has_no_links():
+    task = {"point": [1, 2, 3], "weight": [1, 1, 1], "vector": [[1.0, 0.0]] * 3, "first": [0] * 3}
+    for second in (False, True):
+        assert cover_tree.compare_cells(pa.table(task | {"last": [1] * 3, "second": [second] * 3}), 0.98).num_rows == 0
+    assert cover_tree.compare_cells(pa.table(task | {"last": [0] * 3, "second": [False] * 3}), 0.98).column("links").to_pylist() == [2, 2, 2]
+
+
 def test_cover_tree_levels():
     draw = np.random.default_rng(1)
     points = cover_tree.unit(draw.normal(size=(300, 6)))
