@@ -485,6 +485,31 @@ def traversal_counters(spark, sf_dir):
     return graph.traversal_counters(edges, graph.reachable(edges, source(spark)))
 
 
+def customer_edges(spark, sf_dir):
+    """The same links with a node for each customer, whatever their number."""
+    customers = table(spark, sf_dir, "customer").agg((F.max("c_custkey") + 1).alias("n"))
+    return table(spark, sf_dir, "orders").crossJoin(F.broadcast(customers)).select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 31 + F.col("o_orderkey") * 7) % F.col("n")).alias("dst"))
+
+
+CUSTOMER_EDGES = "e AS (SELECT o_custkey AS src, (o_custkey * 31 + o_orderkey * 7) % (SELECT max(c_custkey) + 1 FROM customer) AS dst FROM orders)"
+
+
+@query(SQL["reachability"].replace(EDGES, CUSTOMER_EDGES))
+def reachability_customers(spark, sf_dir):
+    return graph.reachable(customer_edges(spark, sf_dir), source(spark)).select("node")
+
+
+@query(SQL["hop_counts"].replace(EDGES, CUSTOMER_EDGES))
+def hop_counts_customers(spark, sf_dir):
+    return graph.hop_counts(customer_edges(spark, sf_dir), source(spark), 6)
+
+
+@query(SQL["traversal_counters"].replace(EDGES, CUSTOMER_EDGES))
+def traversal_counters_customers(spark, sf_dir):
+    edges = customer_edges(spark, sf_dir)
+    return graph.traversal_counters(edges, graph.reachable(edges, source(spark)))
+
+
 def source(spark):
     return spark.range(5, 6).select(F.col("id").alias("node"))
 

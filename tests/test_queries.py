@@ -1,5 +1,7 @@
 import math
 import os
+import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -39,6 +41,26 @@ def test_query_equals_sql(spark, sf_dir, oracle, name):
     assert sorted(tuple(plain(r[c]) for c in order) for r in rows) == want
 
 
+def test_traversals_span_all_customers(spark, tmp_path):
+    n = 6000
+    draw = random.Random(3)
+    orders = [(k, draw.randrange(n)) for k in range(4 * n)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(n).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    edges = [(c, (c * 31 + o * 7) % n) for o, c in orders]
+    hop, frontier = {5: 0}, {5}
+    while frontier:
+        found = {d for s, d in edges if s in frontier} - hop.keys()
+        hop |= dict.fromkeys(found, max(hop.values()) + 1)
+        frontier = found
+    followed = sum(s in hop for s, _ in edges)
+    assert len(hop) > 4096
+    run = lambda name: [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
+    assert sorted(run("reachability_customers")) == sorted((k,) for k in hop)
+    assert dict(run("hop_counts_customers")) == {h: n for h, n in Counter(hop.values()).items() if h <= 6}
+    assert run("traversal_counters_customers") == [(len(hop), followed, followed - len(hop) + 1)]
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns == ["c_custkey", "c_name", "l_orderkey"]
