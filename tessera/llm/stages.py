@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import with_text
-from .language import UNKNOWN, identify
+from .language import UNKNOWN, fit, identify
 from .lines import dedup_lines
 from .packing import pack
 from .simhash import dedup_simhash
@@ -27,8 +27,11 @@ def tokenizer_file(name: str) -> str:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, of which no language can be told."""
-    return identify(docs, carried=docs.columns).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """Drops documents without a letter, of which no language can be told; these only, too, where no labelled document gives a model."""
+    model = fit(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return identify(docs, carried=docs.columns, model=model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,12 @@ def test_stages_keep_columns_and_take_effect(spark):
             assert r.text == texts[r.doc_id]
 
 
+def test_language_stage_keeps_texts_of_an_unlabelled_corpus(spark):
+    data = [(*r[:2], None, *r[3:]) for r in rows()]
+    kept = {r.doc_id for r in stages.language_stage(spark, plain(spark, data), "").collect()}
+    assert kept == {r[0] for r in data if any(c.isalpha() for c in r[1] or "")}
+
+
 def test_empty_table_passes_through(spark):
     docs = plain(spark, [])
     for _, stage in corpus_pipeline.STAGES[:-1]:
