@@ -31,7 +31,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from .common import settled
 from .components import connected_components
@@ -67,15 +68,17 @@ def fingerprint(text: bytes) -> bytes:
     return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).tobytes()
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, *carried: Column) -> DataFrame:
+    """(doc_id, fp) and the carried columns: fp is the fingerprint as a signed 64-bit number."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = b"".join(fingerprint(t.as_py() or b"") for t in batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(fp, ">i8").astype(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(fp, ">i8").astype(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(of, "doc_id long, fp long")
+    extra = docs.select(*carried)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *carried)
+    return rows.mapInArrow(of, StructType([*StructType.fromDDL("doc_id long, fp long"), *extra.schema]))
 
 
 def key_masks(n: int) -> list[int]:
@@ -215,12 +218,34 @@ def close_stars(distinct: DataFrame, n: int) -> DataFrame:
     return dealt.groupBy("_task").applyInArrow(compare, "a long, b long")
 
 
-def dedup_simhash(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) for every document."""
-    prints = settled(fingerprints(docs))
-    distinct = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def grouped(prints: DataFrame, rank: Column) -> DataFrame:
+    """The rows of ``prints`` with _root, the same for a group of close fingerprints, and _least, the least rank in the group."""
+    distinct = settled(prints.groupBy("fp").agg(F.min(rank).alias("least")))
     roots = connected_components(close_stars(distinct, distinct.count()))
     nodes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = nodes.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(classes, prints["fp"] == classes["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = nodes.groupBy("root").agg(F.min("least").alias("_least"))
+    classes = nodes.join(least, "root").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), "_least")
+    return prints.join(classes, prints["fp"] == classes["_fp"]).drop("_fp")
+
+
+def dedup_simhash(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) for every document."""
+    found = grouped(settled(fingerprints(docs)), F.col("doc_id"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("_least").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of docs, one of each group: the smallest id's (null ids last), by the text's digest where rows share it.
+
+    Rows are told apart by id and digest, and rows alike in both are in one group. What is joined with the documents
+    are the rows to drop, and the chosen ones that are repeated.
+    """
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest"))
+    found = grouped(settled(fingerprints(docs, digest.alias("digest"))), rank).withColumn("_lost", rank != F.col("_least"))
+    lost = found.where("_lost").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.lit(None).cast("long").alias("_root")).distinct()
+    chosen = found.where("not _lost").groupBy("_root").agg(F.min("doc_id").alias("_id"), F.min("digest").alias("_digest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    marks = settled(lost.unionByName(chosen.drop("n")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+    repeated = docs.join(marks.where("_root is not null"), same).dropDuplicates(["_root"])
+    return docs.join(marks, same, "left_anti").unionByName(repeated.select(*[F.col(f"`{c}`") for c in docs.columns]))

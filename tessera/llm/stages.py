@@ -2,9 +2,10 @@
 
 All but the last return the columns they were given. A stage takes what its predecessor kept, whole:
 language identification drops documents without a language, line and substring dedup shorten texts,
-near-dedup keeps the document with the smallest id of each group, packing makes sequences.
+near-dedup keeps the row with the smallest id of each group (null ids last), packing makes sequences.
 
-Rows that share an id are one document's; rows with a null id stay unless the language stage drops them.
+Near-dedup decides by row: of repeated rows, with or without an id, one stays, and rows that share an id but not
+a text are apart. Other stages take rows that share an id for one document's.
 An empty table passes through each stage.
 """
 
@@ -16,7 +17,7 @@ from .common import with_text
 from .language import UNKNOWN, fit, identify
 from .lines import dedup_lines
 from .packing import pack
-from .simhash import dedup_simhash
+from .simhash import one_of_each_group
 from .substring import dedup_substrings
 
 
@@ -40,9 +41,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
-    gone = dedup_simhash(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Keeps one row of each group of near copies, whatever ids rows share."""
+    return one_of_each_group(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,21 @@ def test_stages_keep_columns_and_take_effect(spark):
             assert r.text == texts[r.doc_id]
 
 
+def test_near_dedup_stage_decides_by_row(spark):
+    data = [r[:5] for r in rows()]
+    long = [r for r in data if len(r[1] or "") > 200][:6]
+    other = lambda i, r: (i, *r[1:])
+    # Repeated rows, copies without an id (one of them with no row that has one), and an id that a copy and a clean text share.
+    few = [long[0], long[0], other(None, long[0]), other(None, long[1]), other(None, long[1]), other(-7, long[2]), other(long[5][0], long[2]), long[3], long[5]]
+    for some in (few, data + few):
+        root = groups([brute_print(r[1]) for r in some])
+        least = {k: min(((r[0] is None, r[0] or 0) for r, x in zip(some, root) if x == k)) for k in root}
+        out = stages.near_dedup_stage(spark, spark.createDataFrame(some, plain(spark).schema), "").collect()
+        assert Counter((r.doc_id is None, r.doc_id or 0) for r in out) == Counter(least.values())
+        assert sorted(groups([brute_print(r.text) for r in out])) == list(range(len(least)))
+    assert long[5][1] in {r.text for r in out}
+
+
 def test_language_stage_keeps_texts_of_an_unlabelled_corpus(spark):
     data = [(*r[:2], None, *r[3:]) for r in rows()]
     kept = {r.doc_id for r in stages.language_stage(spark, plain(spark, data), "").collect()}
