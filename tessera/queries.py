@@ -431,9 +431,9 @@ def hist_emd_log(spark, sf_dir):
 
 @query()
 def bloom_membership(spark, sf_dir):
-    """Parts against a filter of those that were ordered in bulk; approximate, without false negatives."""
-    bits, hashes = sketches.bloom_size(100_000, 0.01)
+    """Parts against a filter of those that were ordered in bulk, sized by their number; approximate, without false negatives."""
     bulk = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_partkey").distinct()
+    bits, hashes = sketches.bloom_size(max(1, bulk.count()), 0.01)
     return sketches.bloom_maybe(table(spark, sf_dir, "part", "p_partkey"), "p_partkey", sketches.bloom_filter(bulk, "l_partkey", bits, hashes), bits, hashes)
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessera import queries
@@ -61,6 +62,15 @@ def test_traversals_span_all_customers(spark, tmp_path):
     assert run("traversal_counters_customers") == [(len(hop), followed, followed - len(hop) + 1)]
 
 
+def test_bloom_membership_keeps_its_rate_for_many_parts(spark, tmp_path):
+    n = 300_000
+    spark.range(n).select(F.col("id").alias("l_partkey"), F.lit(50.0).alias("l_quantity")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(2 * n).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    out = entry.queries()["bloom_membership"](spark, str(tmp_path)).where("maybe").groupBy((F.col("p_partkey") < n).alias("bulk")).count().collect()
+    found = {r.bulk: r["count"] for r in out}
+    assert found[True] == n and found[False] < 0.02 * n
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns == ["c_custkey", "c_name", "l_orderkey"]
