@@ -274,7 +274,21 @@ def lsm_find_c0(spark, sf_dir):
 
 
 def probes(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("quantity"))
+    return all_probes(spark, sf_dir).where("l_orderkey % 3 = 0")
+
+
+def all_probes(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("quantity"))
+
+
+@query(SQL["lsm_find"].replace(" WHERE l_orderkey % 3 = 0", ""))
+def lsm_find_all(spark, sf_dir):
+    return V.find(components(spark, sf_dir), all_probes(spark, sf_dir))
+
+
+@query(SQL["lsm_find_c0"].replace(" WHERE l_orderkey % 3 = 0", ""))
+def lsm_find_c0_all(spark, sf_dir):
+    return V.find(components(spark, sf_dir)[:1], all_probes(spark, sf_dir))
 
 
 @query(f"WITH {COMPONENTS} SELECT DISTINCT l_orderkey, l_linenumber, quantity FROM c WHERE (l_orderkey, l_linenumber, quantity) >= (500, 3, 10)")
@@ -292,6 +306,14 @@ def page_floor(spark, sf_dir):
     return V.floor_page(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").where("o_orderkey % 100 = 0"), "o_orderkey", 777)
 
 
+@query("WITH p AS (SELECT min(o_orderkey) AS o_orderkey, arg_min(o_custkey, o_orderkey) AS o_custkey FROM orders GROUP BY o_orderkey // 100) SELECT * FROM p WHERE o_orderkey = (SELECT max(o_orderkey) FROM p WHERE o_orderkey <= 777)")
+def page_floor_all(spark, sf_dir):
+    """Pages of all orders, each with its first row."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    pages = orders.groupBy(F.floor(F.col("o_orderkey") / 100)).agg(F.min("o_orderkey").alias("o_orderkey"), F.min_by("o_custkey", "o_orderkey").alias("o_custkey"))
+    return V.floor_page(pages.select("o_orderkey", "o_custkey"), "o_orderkey", 777)
+
+
 def ops(spark, sf_dir):
     mode = F.when(F.col("o_orderkey") % 10 == 0, "delete").when(F.col("o_orderkey") % 10 < 4, "deliver").when(F.col("o_orderkey") % 10 == 4, "status").otherwise("add")
     return table(spark, sf_dir, "orders").select(mode.alias("mode"), F.col("o_orderkey").alias("xid"), F.col("o_custkey").alias("cust"), F.lit(1).alias("status"))

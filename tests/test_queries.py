@@ -71,6 +71,16 @@ def test_bloom_membership_keeps_its_rate_for_many_parts(spark, tmp_path):
     assert found[True] == n and found[False] < 0.02 * n
 
 
+def test_page_floor_takes_all_orders(spark, tmp_path):
+    spark.createDataFrame([(601, 1), (703, 2), (704, 3), (790, 4)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in entry.queries()["page_floor_all"](spark, str(tmp_path)).collect()] == [(703, 2)]
+
+
+def test_find_probes_all_line_items(spark, sf_dir):
+    found = {r.l_orderkey % 3 for r in entry.queries()["lsm_find_all"](spark, sf_dir).select("l_orderkey").distinct().collect()}
+    assert found == {0, 1, 2}
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns == ["c_custkey", "c_name", "l_orderkey"]
