@@ -7,16 +7,15 @@ their scores, computed the same way; failing these, the next shorter ones. A tex
 is the sum over its words; the prediction is the best language (ties: the first by name), and ``score`` its share
 of exp(sum), 0 to 1.
 
-Bounds, all parameters: the model is fitted on about ``train_docs`` labelled documents (a hash of the
-id decides which), and keeps the ``max_words`` most frequent words and ``max_grams`` n-grams (ties by
-name). So what is collected and broadcast is bounded whatever the input; prediction covers every whole text.
+Bound: the model is fitted on about ``train_docs`` labelled documents (a parameter; a hash of the id decides which), and keeps
+every word and n-gram of these, so its size is that of their vocabulary whatever the input; prediction covers every whole text.
 
 Learned from: text and lang of documents with a known language that are not held out
 (crc32(doc_id as text) mod 5 is not 0). ``lang``, ``source`` and ``doc_id`` are no input of a prediction.
 
 Results for odd input: a text that is null or has no letter is ``und`` with score 0; without any
 labelled document everything is ``und``; a null id counts as held out; an empty table gives no rows. Further
-columns are carried along on request, those with the name of a result column excepted.
+columns are carried along on request, those with the name of a result column (whatever its case) excepted.
 """
 
 from __future__ import annotations
@@ -27,18 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-TRAIN_DOCS = 12_000
-MAX_WORDS = 60_000
-MAX_GRAMS = 60_000
+from .common import apart, named, place, row_of
+
+TRAIN_DOCS = 5_000
 GRAM = 4
 UNKNOWN = "und"
-#: Unseen words whose scores a Python worker keeps.
-MEMO = 200_000
-#: A word longer than this is scored by its parts of that length.
-LONGEST = 64
+#: Unseen words whose scores a Python worker keeps, and the longest such word.
+MEMO, MEMO_LENGTH = 200_000, 64
 RESULT = ["held_out", "lang_pred", "score"]
 
 
@@ -58,19 +56,24 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[k : k + n] for k in range(len(marked) - n + 1)]
 
 
+Counts = tuple[list[str], np.ndarray]
+
+
 class Model:
-    def __init__(self, langs: list[str], words: dict[str, list[int]], parts: dict[str, list[int]]) -> None:
+    """``words`` and ``parts`` (n-grams): items, and their counts with a column a language."""
+
+    def __init__(self, langs: list[str], words: Counts, parts: Counts) -> None:
         self.langs = langs
-        self.words = {w: k for k, w in enumerate(words)}
-        self.word_scores = self.scores(list(words.values()))
+        self.words = {w: k for k, w in enumerate(words[0])}
+        self.word_scores = self.scores(words[1])
         # Rows of n-grams by length; scores are shares of the n-grams of that length.
-        self.parts = {n: {} for n in range(1, GRAM + 1)}
-        for p in parts:
-            self.parts[len(p)][p] = len(self.parts[len(p)])
-        self.part_scores = {n: self.scores([parts[p] for p in known]) for n, known in self.parts.items()}
+        lengths = np.array([len(p) for p in parts[0]], np.int64)
+        of_length = {n: np.flatnonzero(lengths == n) for n in range(1, GRAM + 1)}
+        self.parts = {n: {parts[0][k]: row for row, k in enumerate(at.tolist())} for n, at in of_length.items()}
+        self.part_scores = {n: self.scores(parts[1][at]) for n, at in of_length.items()}
 
-    def scores(self, counts: list[list[int]]) -> np.ndarray:
-        table = np.array(counts, float).reshape(len(counts), len(self.langs)) + 0.5
+    def scores(self, counts: np.ndarray) -> np.ndarray:
+        table = counts.astype(float) + 0.5
         return np.log(table / table.sum(axis=0))
 
     def unseen(self, word: str) -> np.ndarray:
@@ -110,10 +113,11 @@ class Scorer:
         if not words:
             return UNKNOWN, 0.0
         counts = Counter(words)
-        if max(map(len, counts)) > LONGEST:
-            counts = Counter(w[k : k + LONGEST] for w in words for k in range(0, len(w), LONGEST))
-        distinct, numbers = list(counts), np.array(list(counts.values()), float)
+        distinct = list(counts)
         total = np.zeros(len(self.model.langs))
+        for word in [w for w in distinct if len(w) > MEMO_LENGTH and w not in self.model.words]:  # too long to keep
+            total += counts.pop(word) * self.model.unseen(word)
+        distinct, numbers = list(counts), np.array(list(counts.values()), float)
         for k in range(0, len(distinct), MEMO):
             part = distinct[k : k + MEMO]
             if len(self.place) + len(part) > len(self.table):
@@ -128,43 +132,53 @@ def _cutter(text: Column, n: int):
     return lambda k: F.substring(text, k, F.lit(n))
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """The model from the labelled documents that are not held out; its tables come to the driver, bounded by the last two."""
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
+    """The model from the labelled documents that are not held out; the sample's vocabulary comes to the driver."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     share = train_docs / max(1, labelled.count())
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1, share) * (1 << 30)))
     counts = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).cache()
     try:
-        marked = F.concat(F.lit("^"), F.substring("word", 1, LONGEST), F.lit("$"))
+        marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
         starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1)))
         cut = F.flatten(F.array(*[F.transform(starts(n), _cutter(marked, n)) for n in range(1, GRAM + 1)]))
         langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # languages, not documents
+        if not langs:
+            return Model([], ([], np.zeros((0, 0))), ([], np.zeros((0, 0))))
 
-        def top(pairs: DataFrame, item: str, most: int) -> dict[str, list[int]]:
-            by = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"_{k}") for k, x in enumerate(langs)]
-            kept = pairs.groupBy(item).agg(F.sum("n").alias("_all"), *by).orderBy(F.desc("_all"), item).limit(most).collect()
-            return {r[0]: [int(x) for x in r[2:]] for r in kept}
+        def by_lang(pairs: DataFrame, item: str) -> Counts:
+            sums = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, x in enumerate(langs)]
+            table = pairs.groupBy(item).agg(*sums).toArrow()
+            return table.column(0).to_pylist(), np.stack([c.to_numpy() for c in table.columns[1:]], axis=1)
 
-        words = top(counts, "word", max_words)
-        pieces = counts.select("lang", "n", F.explode(cut).alias("gram")).where("gram <> ''")
-        return Model(langs, words, top(pieces, "gram", max_grams))
+        words = by_lang(counts, "word")
+        return Model(langs, words, by_lang(counts.select("lang", "n", F.explode(cut).alias("gram")).where("gram <> ''"), "gram"))
     finally:
         counts.unpersist()
 
 
 def identify(docs: DataFrame, carried: list[str] | None = None, model: Model | None = None, **bounds: int) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document; with ``carried``, these columns before them."""
+    carried = apart(["doc_id"] if carried is None else carried, RESULT)
+    found = identify_rows(docs, carried, model, **bounds)
+    return found.select(*[F.col("_row").getField(f"c{k}").alias(c) for k, c in enumerate(carried)], *[F.col("_found").getField(r).alias(r) for r in RESULT])
+
+
+def identify_rows(docs: DataFrame, carried: list[str] | None = None, model: Model | None = None, **bounds: int) -> DataFrame:
+    """The same as (_row, _found), see common.row_of(), where ``_row`` has the carried columns, all by default."""
     model = model or fit(docs, **bounds)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
-    carried = [c for c in (["doc_id"] if carried is None else carried) if c not in RESULT]
-    rows = docs.select(*[F.col(f"`{c}`") for c in carried], held_out().alias("held_out"), F.col("text").alias("_text_of"))
-    schema = rows.drop("_text_of").schema.add("lang_pred", "string").add("score", "double")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary of train_docs documents
+    carried = docs.columns if carried is None else carried
+    text = place(docs, "text") if [c.lower() for c in carried] == [c.lower() for c in docs.columns] else None
+    rows = docs.select(row_of(docs.select(*map(named, carried))), held_out().alias("_held_out"), *([] if text is not None else [F.col("text").alias("_text")]))
+    schema = rows.select("_row", "_held_out").schema.add("_lang_pred", "string").add("_score", "double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            columns = [*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            texts = batch.column(2) if text is None else pc.struct_field(batch.column(0), text)
+            found = [scorer.predict(t.as_py()) for t in texts]
+            columns = [*batch.columns[:2], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(predict, schema).select("_row", F.struct(*[F.col(f"_{r}").alias(r) for r in RESULT]).alias("_found"))

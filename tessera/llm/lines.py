@@ -12,14 +12,15 @@ windows' positions meet the texts by document; merging covered positions is a se
 Results for odd input: a null text has no lines, an empty one has one empty line; a document of fewer
 than three lines loses nothing; a null id counts as the largest; rows with the same id and text are one
 occurrence, so neither removes the other; an empty table gives no rows. Further columns are carried
-along, but for those with the name of a result column.
+along, but for those with the name of a result column, whatever its case.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-RESULT = ["n_lines", "n_removed", "kept_text"]
+from .common import field, flattened, row_of
+
 LAST_ID = (1 << 63) - 1
 #: A byte that is not ASCII white space.
 WORD = r"[^ \t-\r]"
@@ -27,6 +28,11 @@ WORD = r"[^ \t-\r]"
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, n_lines, n_removed and kept_text (null for a null text)."""
+    return flattened(line_rows(docs), docs)
+
+
+def line_rows(docs: DataFrame) -> DataFrame:
+    """The same as (_row, _found), see common.row_of()."""
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64("text").alias("_text_hash")]
     lines = docs.where("text is not null").select(*key, F.split("text", "\n", -1).alias("_lines"))
     three = lambda i: [F.get("_lines", i + k) for k in range(3)]
@@ -40,19 +46,20 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     repeated = windows.groupBy("_a", "_b").agg(F.min(place).alias("_least"), F.max(place).alias("_most")).where("_least <> _most").select(F.col("_a").alias("_c"), F.col("_b").alias("_d"), "_least")
     later = windows.join(repeated, (F.col("_a") == F.col("_c")) & (F.col("_b") == F.col("_d"))).where(place != F.col("_least"))
     starts = later.groupBy("_id", "_text_hash").agg(F.collect_set("_at").alias("_starts")).select(F.col("_id").alias("_of"), F.col("_text_hash").alias("_of_hash"), "_starts")
-    carried = [c for c in docs.columns if c not in RESULT]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_row"), *key)
+    rows = docs.select(row_of(docs), *key)
     met = rows.join(starts, (F.col("_id") == F.col("_of")) & (F.col("_text_hash") == F.col("_of_hash")), "left")
     covered = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.array(p, p + 1, p + 2))))
-    text = F.col("_row.text")
+    text = field(docs, "text")
     split = met.select("_row", F.split(text, "\n", -1).alias("_lines"), covered.alias("_covered"))
     left = split.select("_row", "_lines", "_covered", F.when(F.col("_covered").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_covered")).alias("_left"))
     kept = F.when(F.col("_covered").isNull(), text).otherwise(F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n"))
     return left.select(
-        *[F.col(f"_row.`{c}`").alias(c) for c in carried],
-        F.when(text.isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.when(F.col("_covered").isNull(), 0).otherwise(F.size("_covered")).cast("long").alias("n_removed"),
-        kept.alias("kept_text"),
+        "_row",
+        F.struct(
+            F.when(text.isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
+            F.when(F.col("_covered").isNull(), 0).otherwise(F.size("_covered")).cast("long").alias("n_removed"),
+            kept.alias("kept_text"),
+        ).alias("_found"),
     )
 
 

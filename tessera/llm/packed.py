@@ -1,7 +1,7 @@
 """Names (hashes) of text windows by the block, and their exchange in packed form.
 
 Documents are dealt into blocks of some megabytes. A Python task sees a block as a few numpy arrays,
-names its windows with prefix sums, and keeps each name once a block. Names travel as arrays, one row
+names its windows by doubling, and keeps each name once a block. Names travel as arrays, one row
 per (block, bucket of names), to the bucket's task, which sorts all its blocks' names at once and
 answers each block with those of its names that matter. So a passage that every document shares costs
 one entry a block, not one a document, and no task holds a document's or a passage's copies.
@@ -16,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_bytes
+from .common import apart, named, text_bytes
 
 #: UTF-8 bytes of text in a block, about.
 BLOCK_BYTES = 3 << 20
 #: Blocks whose names one bucket's task sorts together, about.
-BLOCKS_A_BUCKET = 6
+BLOCKS_A_BUCKET = 24
+#: Up to so many buckets, fewer blocks make one.
+LEAST_BLOCKS, MOST_SMALL = 6, 32
 
 U64 = np.uint64
 
@@ -40,6 +42,34 @@ def table(seed: int, n: int = 256) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed)) | U64(1)
 
 
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A name for two names in this order; mixing, unlike a sum of powers, leaves no structure that texts could share."""
+    return mix(left * U64(0x9FB21C651E98DF25) + right)
+
+
+def chained(names: np.ndarray, length: int, span: int = 1) -> np.ndarray:
+    """Names of all stretches of ``length`` entries by their start, from those of ``span`` entries each.
+
+    Names double, two of them becoming one, and overlap the last time. Every second step and the last one mix.
+    """
+    n = len(names) - length + span
+    if n <= 0:
+        return np.empty(0, U64)
+    out, plain = names, False
+    while 2 * span <= length:
+        plain = not plain
+        if plain and 2 * span < length:
+            left = out[:-span] * U64(0xD6E8FEB86659FD93)
+            left += out[span:]
+            out = left
+        else:
+            out = joined(out[:-span], out[span:])
+        span *= 2
+    if span < length:
+        out = joined(out[:n], out[length - span : length - span + n])
+    return out
+
+
 class Powers:
     """Powers of an odd number and of its inverse modulo 2^64, as far as asked for."""
 
@@ -58,7 +88,7 @@ class Powers:
 
 
 class Prefixes:
-    """Names of any stretch of a sequence of 64-bit values in constant time."""
+    """Names of any stretch of a sequence of 64-bit values in constant time. Structured texts may share them: for use beside another name."""
 
     def __init__(self, values: np.ndarray, powers: Powers) -> None:
         up, self.down = powers.upto(len(values) + 1)
@@ -68,29 +98,23 @@ class Prefixes:
     def names(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U64))
 
-    def windows(self, length: int) -> np.ndarray:
-        """Names of all stretches of one length, by their start."""
-        n = max(0, len(self.sums) - length)
-        return mix((self.sums[length:] - self.sums[:n]) * self.down[:n] + U64(length))
-
-
-BYTES, WORDS, CHECK = Powers(0x5851F42D4C957F2D), Powers(0x2545F4914F6CDD1D), Powers(0x369DEA0F31A53F85)
-BYTE_VALUES, CHECK_VALUES = table(1), table(2)
-
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """``_block``, doc_id as ``_id``, text as ``_text`` and the other columns as _c0, _c1, ...; and the number of blocks.
+    """``_block``, doc_id as ``_id``, text as ``_text`` and the other columns as one, ``_rest``; and the number of blocks.
 
-    A row's block depends on its id and text alone; any row of any table has one. All rounds should use
-    all these columns: then Spark deals the rows out once and rereads that exchange.
+    A row's block depends on its id, its text and its place in the input, so that a row that is repeated any number of times
+    is dealt to all blocks alike. Input must come in the same order when a task is run again, as tables, files and
+    checkpoints do. All rounds should use all these columns: then Spark deals the rows out once and rereads that exchange.
     """
     n = max(1, math.ceil(text_bytes(docs) / block_bytes))
-    others = [F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(other_columns(docs))]
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("_block"), F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), *others), n
+    others = [named(c).alias(f"c{k}") for k, c in enumerate(other_columns(docs))]
+    rest = F.struct(*others) if others else F.lit(None).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n))
+    return docs.select(block.alias("_block"), F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), rest.alias("_rest")), n
 
 
 def other_columns(docs: DataFrame) -> list[str]:
-    return [c for c in docs.columns if c not in ("doc_id", "text")]
+    return apart(docs.columns, ["doc_id", "text"])
 
 
 def in_order(table: pa.Table) -> pa.Table:
@@ -98,14 +122,17 @@ def in_order(table: pa.Table) -> pa.Table:
     return table.sort_by([("_id", "ascending"), ("_text", "ascending")])
 
 
-def restored(df: DataFrame, docs: DataFrame, added: list[str]) -> DataFrame:
-    """The columns of docs by their names, then the added ones; a column of docs with the name of an added one gives way."""
-    named = {c: f"_c{k}" for k, c in enumerate(other_columns(docs))} | {"doc_id": "_id", "text": "_text"}
-    return df.select(*[F.col(named[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns if c not in added], *added)
+def paired(df: DataFrame, docs: DataFrame, results: list[str]) -> DataFrame:
+    """(_row, _found): the row as common.row_of() makes it, and the results."""
+    rest = {c.lower(): F.col("_rest").getField(f"c{k}") for k, c in enumerate(other_columns(docs))}
+    own = {"doc_id": F.col("_id"), "text": F.col("_text")} | rest
+    row = F.struct(*[own[c.lower()].cast(docs.schema[k].dataType).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    return df.select(row.alias("_row"), F.struct(*results).alias("_found"))
 
 
 def buckets(n_blocks: int) -> int:
-    return max(1, math.ceil(n_blocks / BLOCKS_A_BUCKET))
+    """Few for few blocks, so that all cores have work; then BLOCKS_A_BUCKET blocks each."""
+    return max(min(math.ceil(n_blocks / LEAST_BLOCKS), MOST_SMALL), math.ceil(n_blocks / BLOCKS_A_BUCKET), 1)
 
 
 def bucket_of(names: np.ndarray, n: int) -> np.ndarray:
@@ -128,7 +155,7 @@ def gathered(group: pa.Table, field: str, dtype: str) -> tuple[np.ndarray, np.nd
     """A binary field of all rows as one array, and the row of each of its entries."""
     parts = [np.frombuffer(x, dtype) for x in group.column(field).to_pylist() if x is not None]
     lengths = [len(x) for x in parts]
-    return (np.concatenate(parts) if parts else np.empty(0, dtype)), np.repeat(np.arange(len(parts)), lengths)
+    return (np.concatenate(parts) if parts else np.empty(0, dtype)), np.repeat(np.arange(len(parts), dtype=np.int32), lengths)
 
 
 def isin_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:

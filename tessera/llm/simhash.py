@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import settled
+from .common import field, row_of, settled
 from .components import connected_components
 from .packed import group_starts
 
@@ -246,6 +246,8 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     lost = found.where("_lost").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.lit(None).cast("long").alias("_root")).distinct()
     chosen = found.where("not _lost").groupBy("_root").agg(F.min("doc_id").alias("_id"), F.min("digest").alias("_digest"), F.count(F.lit(1)).alias("n")).where("n > 1")
     marks = settled(lost.unionByName(chosen.drop("n")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
-    repeated = docs.join(marks.where("_root is not null"), same).dropDuplicates(["_root"])
-    return docs.join(marks, same, "left_anti").unionByName(repeated.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    rows = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("_own_id"), digest.alias("_own_digest"))
+    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_digest") == F.col("_digest"))
+    repeated = rows.join(marks.where("_root is not null"), same).groupBy("_root").agg(F.first("_row").alias("_row"))
+    kept = rows.join(marks, same, "left_anti").select("_row").unionByName(repeated.select("_row"))
+    return kept.select(*[field(docs, c).alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 """Stages of a corpus pipeline: documents in, documents out, each by one operator of this subpackage.
 
-All but the last return the columns they were given. A stage takes what its predecessor kept, whole:
+All but the last return the columns they were given, whatever their names: only text and, where there is one, n_chars (the text's
+length) change. A stage takes what its predecessor kept, whole:
 language identification drops documents without a language, line and substring dedup shorten texts,
 near-dedup keeps the row with the smallest id of each group (null ids last), packing makes sequences.
 
@@ -13,12 +14,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import with_text
-from .language import UNKNOWN, fit, identify
-from .lines import dedup_lines
+from .common import field, with_text
+from .language import UNKNOWN, fit, identify_rows
+from .lines import line_rows
 from .packing import pack
 from .simhash import one_of_each_group
-from .substring import dedup_substrings
+from .substring import substring_rows
 
 
 def tokenizer_file(name: str) -> str:
@@ -32,12 +33,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = fit(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return identify(docs, carried=docs.columns, model=model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    found = identify_rows(docs, model=model).where(F.col("_found.lang_pred") != UNKNOWN)
+    return found.select(*[field(docs, c).alias(c) for c in docs.columns])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes later occurrences of three-line windows from the texts."""
-    return with_text(dedup_lines(docs), F.col("kept_text"), docs.columns)
+    return with_text(line_rows(docs), docs, F.col("_found.kept_text"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +48,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes words of 13-word windows that a document with a smaller id has; other texts stay byte for byte."""
-    found = dedup_substrings(docs)
-    return with_text(found, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")), docs.columns)
+    """Cuts words of 13-word windows that a document with a smaller id has out of the texts, which keep their other bytes and lines."""
+    return with_text(substring_rows(docs), docs, F.col("_found.kept_text"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,35 +11,54 @@ start at a position in D (counted from each document's start, modulo 7) inside b
    name besides its bucket, and learns which occur in two documents or more;
 2. extension: positions within reach of a shared anchor are extended to whole windows, named with 96
    bits; for each name the smallest document id over all blocks comes back where it is below the block's;
-3. covered words are removed.
+3. covered words are cut out of the text.
 
-Anchors are a filter only (a false match costs one name more in round 2); round 2 decides.
+Anchors are a filter only (a false match costs one name more in round 2); round 2 decides. Its names are exact up to
+collisions of 96 bits: 64 and 32, from two halves of each word's XXH3-128 that are joined apart from each other.
 
 Text is shuffled once, by block; all three rounds read that exchange. See packed.py for why hot
 passages and groups of copies stay small.
 
 Results for odd input: a null or empty text has no words; words are split at ASCII white space only; a
 document of fewer than 13 words loses nothing; rows that share an id are no smaller than each other, so
-rows that repeat stay; a null id counts as larger than any other, so such a row removes nothing from
+rows that repeat stay (and are dealt to all blocks alike); a null id counts as larger than any other, so such a row removes nothing from
 others; an empty table gives no rows. Further columns are carried along as they are, but for those with
-the name of a result column.
+the name of a result column, whatever its case.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .packed import BLOCK_BYTES, BYTE_VALUES, BYTES, CELL, CHECK, U64, WORDS, Prefixes, bucket_of, buckets, blocks, cells, gathered, group_starts, in_order, isin_sorted, mix, restored
+from .common import flattened
+from .packed import BLOCK_BYTES, CELL, U64, bucket_of, buckets, blocks, cells, chained, gathered, group_starts, in_order, isin_sorted, paired
 
 #: A difference cover and its period.
 COVER, PERIOD = (0, 1, 3), 7
 WINDOW = 13
 NO_ID = np.iinfo(np.int64).max
+RESULT = ["n_words", "n_removed", "kept_text", "kept_sha256"]
+WORD = re.compile(rb"[^ \t-\r]+")
+
+
+class Numbers(dict):
+    """Word -> its number in order of appearance; ``digests`` has each word's XXH3-128."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.digests: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.digests)
+        self.digests.append(xxhash.xxh3_128_digest(word))
+        return n
 
 
 class Words:
@@ -51,14 +70,10 @@ class Words:
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         self.of = np.repeat(np.arange(len(self.docs)), self.counts)
         self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
-        line = np.frombuffer(b" ".join(b" ".join(d) for d in self.docs if d), np.uint8)
-        gaps = np.flatnonzero(line == 32)
-        if len(line):
-            names = Prefixes(BYTE_VALUES[line], BYTES).names(np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(line)]]))
-        else:
-            names = np.empty(0, U64)
-        self.prefixes = Prefixes(names, WORDS)
-        self.check = Prefixes(mix(names + U64(0x632BE59BD9B4E019)), CHECK)
+        numbers = Numbers()
+        of = np.fromiter((n for d in self.docs for n in map(numbers.__getitem__, d)), np.int32, len(self.of))
+        digests = np.frombuffer(b"".join(numbers.digests), ">u8").reshape(-1, 2).astype(U64)
+        self.names, self.check = digests[of, 0], digests[of, 1]
 
     def fitting(self, length: int) -> np.ndarray:
         """Which words start a window of that length in their document."""
@@ -70,7 +85,7 @@ class Words:
         at = np.arange(len(self.of))
         ok = np.isin((at - self.first[self.of]) % PERIOD, COVER) & self.fitting(length)
         at = at[ok]
-        return at, self.prefixes.windows(length)[at]
+        return at, chained(self.names, length)[at]
 
     def candidates(self, window: int, shared: np.ndarray, n_buckets: int) -> np.ndarray:
         """Starts of windows that hold a shared anchor."""
@@ -83,8 +98,26 @@ class Words:
 
     def windows(self, window: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """96 bits of name in two arrays."""
-        ends = starts + window
-        return self.prefixes.names(starts, ends), (self.check.names(starts, ends) >> U64(32)).astype(np.uint32)
+        return chained(self.names, window)[starts], (chained(self.check, window)[starts] >> U64(32)).astype(np.uint32)
+
+
+def without(text: bytes, removed: list[bool]) -> bytes:
+    """The text without these of its words; of the gaps around a removed run the one before stays if it ends a line, else the one after."""
+    spans = [m.span() for m in WORD.finditer(text)]
+    parts, at, k, n = [], 0, 0, len(spans)
+    while k < n:
+        if not removed[k]:
+            k += 1
+            continue
+        first = k
+        while k < n and removed[k]:
+            k += 1
+        before, start = spans[first - 1][1] if first else 0, spans[first][0]
+        end, after = spans[k - 1][1], spans[k][0] if k < n else len(text)
+        lo, hi = (start, after) if b"\n" in text[before:start] or not first else (before, end)
+        parts.append(text[at:lo])
+        at = hi
+    return b"".join(parts) + text[at:]
 
 
 def short(names: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -103,7 +136,12 @@ def smallest(high: np.ndarray, low: np.ndarray, ids: np.ndarray) -> tuple[np.nda
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of ``docs`` and n_words, n_removed, kept_text (the kept words joined by spaces), kept_sha256."""
+    """All columns of ``docs`` and n_words, n_removed, kept_text (the text without the removed words), kept_sha256 (of the kept words, joined by spaces)."""
+    return flattened(substring_rows(docs, window, block_bytes), docs)
+
+
+def substring_rows(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The same as (_row, _found), see common.row_of()."""
     if window < PERIOD:
         raise ValueError(f"windows have {PERIOD} words at least")
     dealt, n_blocks = blocks(docs, block_bytes)
@@ -203,13 +241,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, block_bytes: int = B
         removed = np.cumsum(edges)[: len(w.of)] > 0
         sums = np.concatenate([[0], np.cumsum(removed)])
         n_removed = sums[w.first[1:]] - sums[w.first[:-1]]
-        kept = []
-        for k, doc in enumerate(w.docs):
+        kept, digests = [], []
+        for k, (doc, text) in enumerate(zip(w.docs, table.column("_text").cast(pa.binary()).to_pylist(), strict=True)):
             if n_removed[k]:
-                doc = [x for x, r in zip(doc, removed[w.first[k] : w.first[k + 1]].tolist(), strict=True) if not r]
-            kept.append(b" ".join(doc))
-        added = {"n_words": pa.array(w.counts, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
+                gone = removed[w.first[k] : w.first[k + 1]].tolist()
+                doc = [x for x, r in zip(doc, gone, strict=True) if not r]
+                text = without(text, gone)
+            kept.append(text)
+            digests.append(hashlib.sha256(b" ".join(doc)).hexdigest())
+        added = {"n_words": pa.array(w.counts, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "kept_sha256": pa.array(digests, pa.string())}
         return pa.table({c: table.column(c) for c in table.column_names if c != "_block"} | added)
 
     done = by_block.cogroup(smaller.groupBy("_block")).applyInArrow(remove, schema)
-    return restored(done, docs, ["n_words", "n_removed", "kept_text", "kept_sha256"])
+    return paired(done, docs, RESULT)

@@ -4,10 +4,11 @@ Every byte is removed that a string of ``length`` (200) bytes covers which also
 the same document or another; overlapping occurrences count. Matches stay within documents.
 
 Ranks. The rank of a position at length h stands for the h bytes from there; equal ranks mean equal
-bytes. As only equality matters here, a rank is a hash name. Ranks start at an eighth of the
-length and double: the rank at 2h pairs those of the position and of the position h further on. Spark sorts ranks
+bytes. As only equality matters here, a rank is a hash name of 64 bits. Ranks start at pairs of bytes and
+double: the rank at 2h mixes the pair of ranks of the position and of the position h further on. Spark sorts ranks
 (in buckets, see packed.py) at half the length and at the whole length; positions whose rank is unique
-drop out of what follows.
+drop out of what follows. Results are exact up to collisions of 96 bits:
+ranks, which no structure of a text defeats, and a name of another family beside them.
 
 At half the length sorting every position would shuffle several times the input. But of a string of
 200 bytes one half-length position is enough to tell that it is unique, so each window names the
@@ -22,12 +23,12 @@ name of the whole stretch that its windows cover.
 3. Covered bytes are removed.
 
 Text is shuffled once, by block; the rounds read that exchange. Ranks are kept once a block, so a
-string that every document shares costs an entry a block.
+string that every document shares costs an entry a block. A row repeated any number of times is dealt to all blocks alike.
 
 Results for odd input: a null text is as an empty one; texts shorter than 200 bytes lose nothing; rows
 that repeat lose all their bytes (from 200 on) as other copies do; ids are not used in matching; removal may cut
 within a character, so what is left is bytes; an empty table gives no rows. Further columns are carried
-along, but for those with the name of a result column.
+along, but for those with the name of a result column, whatever its case.
 """
 
 from __future__ import annotations
@@ -40,20 +41,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .packed import BYTE_VALUES, BYTES, CELL, CHECK, CHECK_VALUES, U64, Prefixes, blocks, buckets, cells, gathered, group_starts, in_order, isin_sorted, mix, restored
+from .common import flattened
+from .packed import CELL, U64, Powers, Prefixes, blocks, buckets, cells, chained, gathered, group_starts, in_order, isin_sorted, joined, mix, paired, table as values
 
 LENGTH = 200
-#: Doublings from the first rank to the whole length.
-DOUBLINGS = 3
 BLOCK_BYTES = 2 << 20
+#: First ranks: of pairs of bytes for the ranks that double, of single bytes for the names beside them. The two have nothing in common.
+PAIRS, BYTES, POWERS = values(1, 1 << 16), values(2), Powers(0x369DEA0F31A53F85)
 RESULT = ["n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_sha256"]
 
 
-def paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The rank of twice the length from those of both halves."""
-    return mix(left * U64(0x9FB21C651E98DF25) + right)
-
-
 class Block:
     """The bytes of a block's documents, and the ranks of its positions."""
 
@@ -70,14 +67,10 @@ class Block:
         self.starts = np.flatnonzero(np.cumsum(fits)[:-1] > 0)  # of windows within a document
 
     def rank(self) -> None:
-        """Ranks of all positions at half the length."""
-        step = self.length >> DOUBLINGS
-        self.prefixes = Prefixes(BYTE_VALUES[self.bytes], BYTES)
-        rank = self.prefixes.windows(step)
-        for _ in range(DOUBLINGS - 1):
-            rank = paired(rank[:-step], rank[step:])
-            step *= 2
-        self.half = rank
+        """Ranks of all positions at half the length; prefix sums for names beside them."""
+        pairs = self.bytes[:-1].astype(np.uint16) << np.uint16(8) | self.bytes[1:]
+        self.half = chained(PAIRS[pairs], self.length // 2, 2)
+        self.prefixes = Prefixes(BYTES[self.bytes], POWERS)
 
     def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Runs of windows that name the same position: its rank, the stretch's name, first and last window."""
@@ -99,12 +92,18 @@ class Block:
         at = np.flatnonzero(new)
         lo, hi = self.starts[at], self.starts[np.append(at[1:], len(named)) - 1]
         # Mixed again, as ranks that are the smallest of many would meet in the first buckets.
-        return mix(self.half[named[at]]), self.prefixes.names(lo, hi + self.length), lo, hi
+        return mix(self.half[named[at]]), self.stretch_names(lo, hi), lo, hi
+
+    def stretch_names(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Names of the bytes that windows lo to hi cover, from both families; no more than half a length lies between lo and hi."""
+        half = self.length // 2
+        ranks = joined(joined(self.half[lo], self.half[lo + half]), self.half[hi + half])
+        return joined(ranks, self.prefixes.names(lo, hi + self.length))
 
     def whole(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks at the whole length, 64 bits and 32 more."""
-        check = Prefixes(CHECK_VALUES[self.bytes], CHECK).names(starts, starts + self.length)
-        return paired(self.half[starts], self.half[starts + self.length // 2]), (check >> U64(32)).astype(np.uint32)
+        """Ranks at the whole length from the pairs at half of it, and 32 bits of the other family."""
+        beside = self.prefixes.names(starts, starts + self.length)
+        return joined(self.half[starts], self.half[starts + self.length // 2]), (beside >> U64(32)).astype(np.uint32)
 
 
 def positions(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -142,8 +141,8 @@ def per_row(of: np.ndarray, n: int, *values: np.ndarray) -> list[list[bytes]]:
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` and n_bytes, n_removed, n_spans, kept_bytes (binary), kept_sha256."""
-    if length % (1 << DOUBLINGS):
-        raise ValueError(f"the length must be a multiple of {1 << DOUBLINGS}")
+    if length < 4 or length % 2:
+        raise ValueError("the length must be even, and 4 at least")
     dealt, n_blocks = blocks(docs, block_bytes)
     n_buckets = buckets(n_blocks)
     by_block = dealt.groupBy("_block")
@@ -218,7 +217,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_
             left = isin_sorted(stretch, open_)
             at = positions(lo[left], hi[left])
             if len(at):
-                at = at[isin_sorted(paired(block.half[at], block.half[at + length // 2]), np.sort(gathered(windows, "done", "u8")[0]))]
+                at = at[isin_sorted(block.whole(at)[0], np.sort(gathered(windows, "done", "u8")[0]))]
             edges[at] += 1
             edges[at + length] -= 1
         gone = np.cumsum(edges)[:-1] > 0
@@ -234,4 +233,4 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_
         return pa.table({c: table.column(c) for c in table.column_names if c != "_block"} | added)
 
     done = by_block.cogroup(answers.groupBy("_block")).applyInArrow(remove, schema)
-    return restored(done, docs, RESULT)
+    return flattened(paired(done, docs, RESULT), docs)

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import zlib
 from collections import Counter
 
@@ -144,3 +145,45 @@ def test_cover_tree_levels():
         if children:
             assert sorted(x for c in children for x in tree.members(c).tolist()) == sorted(inside)
             assert tree.centre[node] in {tree.centre[c] for c in children}
+
+
+def plain_language(data, train):
+    """The backoff in plain Python, word by word: (prediction, score) of each text."""
+    import math
+
+    langs = sorted({lang for _, lang in train})
+    words_of = lambda t: ["".join(g) for k, g in itertools.groupby(t.lower(), str.isalpha) if k]
+    words, parts = Counter(), Counter()
+    for text, lang in train:
+        for w in words_of(text):
+            words[w, lang] += 1
+            for n in (1, 2, 3, 4):
+                parts.update((n, f"^{w}$"[k : k + n], lang) for k in range(len(w) + 3 - n) if len(w) + 2 >= n)
+    vocabulary, grams = {w for w, _ in words}, {(n, g) for n, g, _ in parts}
+    total = {x: sum(c for (_, lang), c in words.items() if lang == x) + 0.5 * len(vocabulary) for x in langs}
+    whole = {(n, x): sum(c for (m, _, lang), c in parts.items() if (m, lang) == (n, x)) + 0.5 * sum(m == n for m, _ in grams) for n in (1, 2, 3, 4) for x in langs}
+
+    def scored(w, x):
+        if w in vocabulary:
+            return math.log((words[w, x] + 0.5) / total[x])
+        for n in (4, 3, 2, 1):
+            found = [g for g in (f"^{w}$"[k : k + n] for k in range(len(w) + 3 - n)) if (n, g) in grams]
+            if found:
+                return sum(math.log((parts[n, g, x] + 0.5) / whole[n, x]) for g in found) / len(found)
+        return 0.0
+
+    for text in data:
+        sums = [sum(scored(w, x) for w in words_of(text or "")) for x in langs]
+        if not words_of(text or ""):
+            yield "und", 0.0
+        else:
+            best = max(range(len(langs)), key=lambda k: (sums[k], -k))
+            yield langs[best], 1 / sum(math.exp(s - sums[best]) for s in sums)
+
+
+def test_language_id_by_plain_backoff(spark):
+    data = rows() + [(700, "x" * 300 + " zzzz qqqzz the xyz", None, "s", 1, 7, "x", "y", True)]
+    train = [(r[1], r[2]) for r in data if r[1] is not None and r[2] is not None and zlib.crc32(str(r[0]).encode()) % 5]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(table(spark, data)).collect()}
+    for r, (lang, score) in zip(data, plain_language([r[1] for r in data], train), strict=True):
+        assert got[r[0]][1] == pytest.approx(score, abs=1e-6) and (got[r[0]][0] == lang or abs(score - 0.5) < 1e-6), r[:2]

@@ -288,3 +288,46 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 1 for k in range(1, 41)} | {60: 60, 61: 60, 70: 70, 71: 70, 72: 70}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def doubled(levels):
+    """Two texts of 2^levels letters, each the other's complement; sums of powers modulo 2^64 cannot tell them apart."""
+    a, b = "a", "b"
+    for _ in range(levels):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_structured_texts_are_told_apart(spark):
+    a, b = doubled(10)
+    head = " ".join(f"w{k}" for k in range(12))
+    few = lambda texts: spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    data = [(1, f"{head} {a}"), (2, f"{head} {b}"), (3, " ".join(b)), (4, " ".join(a))]
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup_substrings(few([t for _, t in data])).collect())
+    assert got == brute_words(data)
+    a, b = doubled(12)
+    data = [(k, t) for k, t in enumerate([a, b, a[:300] + "x" + b[:700], b[5:] + a[:333], "y" * 999], 1)]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup_bytes(few([t for _, t in data])).collect())
+    assert got == brute_bytes(data, 200)
+
+
+@pytest.mark.parametrize(("operator", "limit"), [(substring.dedup_substrings, 3 << 20), (suffix.dedup_bytes, 2 << 20)])
+def test_repeated_rows_and_long_texts_are_spread(spark, operator, limit):
+    from tessera.llm.packed import blocks
+
+    rows_ = spark.createDataFrame([(1, "same row " * 20)] * 4000, "doc_id long, text string")
+    sizes = [r["count"] for r in blocks(rows_, 50_000)[0].groupBy("_block").count().collect()]
+    assert len(sizes) == 15 and max(sizes) < 2 * min(sizes)
+    draw = np.random.default_rng(4)
+    long = " ".join(f"w{x}" for x in draw.integers(0, 1 << 40, limit // 10))
+    data = [(1, long), (2, "start " + long[1000:200_000] + " end"), (3, long[:300])]
+    out = Counter((r.doc_id, r.n_removed) for r in operator(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    brute = brute_words(data) if operator is substring.dedup_substrings else brute_bytes(data, 200)
+    assert len(long) > limit and out == Counter((r[0], r[2]) for r in brute)
+
+
+def test_removal_keeps_line_breaks():
+    cut = lambda text, gone: substring.without(text, [k in gone for k in range(len(text.split()))])
+    assert cut(b" a b\n  c d\ne f ", {2}) == b" a b\n  d\ne f "
+    assert cut(b"a b\nc d", {1, 2}) == b"a d" and cut(b"a\nb c", {1}) == b"a\nc"
+    assert cut(b"a b\nc", {1}) == b"a\nc" and cut(b"\ta b", {0}) == b"\tb" and cut(b"a b ", {0, 1}) == b""
