@@ -13,7 +13,8 @@ hash buckets (prefix sums) plus a row number in each bucket, so no task holds an
 Results for odd input: a null text has size 1 and the CRC of no bytes; null ids are hashed as such;
 rows that are alike are counted together per input partition and expanded at the end, so that a row
 repeated any number of times neither meets in one task nor gets lost. An empty table gives no rows.
-Ties between rows are broken by (ring hash, id, size, CRC). Other columns are not read.
+Ties between rows are broken by (ring hash, id, size, CRC), so shards and slots depend on the rows alone, whatever
+the input's partitions. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ def bounded_shards(keys: DataFrame, key: str, carried: list[str], shards: int, v
         ahead = F.col("_arc") + half
         placed = placed.withColumn("_arc", F.when((ahead <= len(points)) & (F.get(ends, ahead - 1) < F.col("_at")), ahead).otherwise(F.col("_arc")))
         half >>= 1
-    placed = settled(placed.withColumn("_arc", F.col("_arc") % len(points)).withColumn("_order", F.xxhash64("_at", key, *carried, "_part")))
+    placed = settled(placed.withColumn("_arc", F.col("_arc") % len(points)).withColumn("_order", F.xxhash64("_at", key, *carried)))
     counts = [0] * len(points)
     for r in placed.groupBy("_arc").agg(F.sum("_copies").alias("n")).collect():  # as many rows as ring points
         counts[r["_arc"]] = r["n"]
