@@ -211,13 +211,38 @@ def test_quality_rules(spark):
 
 
 def test_cascade_order_changes_no_verdict(spark):
-    measured = quality.measured(table(spark)).withColumn("base_failed", quality.F.expr(quality.BASE))
-    verdicts = [measured.select("doc_id", quality.first_failed(order, quality.RULES).isNull().alias("kept")).exceptAll(measured.select("doc_id", quality.first_failed(sorted(quality.RULES), quality.RULES).isNull().alias("kept"))).count() for order in (list(quality.RULES), list(quality.RULES)[::-1])]
-    assert verdicts == [0, 0]
-    order = quality.by_rejection_per_cost(measured, {"never": "false", "always": "true"})
+    docs = table(spark)
+    kept = [Counter((r.i, r.kept) for r in quality.judged(docs, order, quality.RULES).select(quality.F.col("_row.c0").alias("i"), "_found.kept").collect()) for order in (list(quality.RULES), list(quality.RULES)[::-1])]
+    assert kept[0] == kept[1]
+    order = quality.by_rejection_per_cost(quality.measured(docs), {"never": "false", "always": "true"})
     assert order == ["always", "never"]
 
 
+def test_costly_rules_run_last_and_in_a_stable_order(spark):
+    draw = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in draw.integers(0, 500, 4000)) for _ in range(60)]
+    sample = quality.settled(quality.measured(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).coalesce(1))
+    rules = {"costly": f"{quality.TOP_WORD} > 100", "cheap": "n_words > 1000000", "symbols": quality.RULES["symbols"]}
+    orders = [quality.by_rejection_per_cost(sample, rules) for _ in range(3)]
+    assert orders[0] == orders[1] == orders[2] == ["cheap", "symbols", "costly"]
+    assert quality.cost_step(-1) == quality.cost_step(quality.FLOOR) == 1 and quality.cost_step(3 * quality.FLOOR) == quality.STEP
+
+
+def test_later_rules_do_not_run(spark):
+    docs = spark.createDataFrame([(1, "few words"), (2, "word " * 30 + "x y z " * 4 + " ".join(f"a{k}" for k in range(200)))], "doc_id long, text string")
+    rules = {"first": "n_words > 60", "last": "raise_error(_text) is null"}
+    got = [r.failed_rule for r in quality.judged(docs, ["first", "last"], rules).select("_found.failed_rule").collect()]
+    assert got == ["base", "first"]
+    with pytest.raises(Exception, match="few|word"):
+        quality.judged(docs, ["last", "first"], rules).select("_found.failed_rule").collect()
+
+
+@pytest.mark.parametrize(("rule", "text"), [("bullets", "\n".join(f"- item{k} is{k} listed{k} here" for k in range(15))), ("ellipses", "\n".join(f"more{k} of line{k} follows{k} here..." for k in range(15))), ("top_word", " ".join(f"same w{k}" for k in range(40))), ("lettered_words", " ".join(f"{k}" for k in range(60)) + " averylongwordofletters" * 8), ("letters", " ".join(f"a{k}0000" for k in range(60)))])
+def test_rules_reject_what_they_are_for(spark, rule, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert quality.judged(docs, [rule], quality.RULES).select("_found.failed_rule").first()[0] == rule
+
+
 # SimHash
 
 
@@ -331,3 +356,50 @@ def test_removal_keeps_line_breaks():
     assert cut(b" a b\n  c d\ne f ", {2}) == b" a b\n  d\ne f "
     assert cut(b"a b\nc d", {1, 2}) == b"a d" and cut(b"a\nb c", {1}) == b"a\nc"
     assert cut(b"a b\nc", {1}) == b"a\nc" and cut(b"\ta b", {0}) == b"\tb" and cut(b"a b ", {0, 1}) == b""
+
+
+def brute_ring(data, shards, nodes, factor):
+    """Shard and slot of each row, by walking the ring with one row after another, arcs taking turns by distance."""
+    at = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+    points = sorted((at(f"node {k % shards} {k // shards}"), k % shards) for k in range(shards * nodes))
+    bounds = [len(data) // shards + (s < len(data) % shards) for s in range(shards)] if factor == 1 else [-int(-len(data) * factor // shards)] * shards
+    held, slots = defaultdict(list), [0] * shards
+    for r in data:
+        p = at(f"key {'null' if r[0] is None else r[0]}")
+        held[next((k for k, (x, _) in enumerate(points) if x >= p), 0)].append(r)
+    place = Counter()
+    for step in range(len(points)):
+        for arc in range(len(points)):
+            shard = points[(arc + step) % len(points)][1]
+            n = min(len(held[arc]), bounds[shard] - slots[shard])
+            place[arc, shard] += n
+            slots[shard] += n
+            held[arc] = held[arc][n:]
+    return place, points, at
+
+
+@pytest.mark.parametrize("factor", [1, 1.25, 2])
+def test_sharding_by_ring_walk(spark, factor):
+    data = odd_ids(rows(n=200))
+    out = sharding.shard_documents(table(spark, data), 5, virtual_nodes=8, load_factor=factor).collect()
+    place, points, at = brute_ring(data, 5, 8, factor)
+    arc = lambda i: next((k for k, (x, _) in enumerate(points) if x >= at(f"key {'null' if i is None else i}")), 0)
+    assert Counter((arc(r.doc_id), r.shard) for r in out) == +place
+    slots = defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) <= -int(-len(data) * factor // 5)
+
+
+def test_sharding_does_not_depend_on_partitions(spark):
+    data = odd_ids(rows(n=400)) + [rows(n=400)[7]] * 40
+    got = [Counter(map(tuple, sharding.shard_documents(table(spark, data).repartition(n), 8).collect())) for n in (2, 7, 50)]
+    assert got[0] == got[1] == got[2]
+
+
+def test_sharding_moves_less_than_twice_the_ideal(spark):
+    ids = spark.range(4000).select(sharding.F.col("id").alias("doc_id"), sharding.F.lit("x").alias("text"))
+    place = lambda n: {r.doc_id: r.shard for r in sharding.shard_documents(ids, n).collect()}
+    a, b = place(8), place(9)
+    assert sum(a[k] != b[k] for k in a) < 2 * len(a) / 9
