@@ -2,17 +2,19 @@
 
 The lexicon maps whole words to their token ids. Its words are compiled into a minimal acyclic
 automaton (states with equal suffixes are shared); each state knows how many words lie beyond it, so
-walking a word sums up to the word's number in sorted order, under which its ids are stored. All of it
+walking a word sums up to the word's number in sorted order, under which its ids and their strings are stored. All of it
 is a few flat arrays in one file, which Spark ships to the executors and every Python worker maps
-into memory, so workers of a machine share its pages. Words that the lexicon lacks are merged exactly, by the
-library's model of the vocabulary's merges; a worker keeps what it has looked up or merged.
+into memory, so workers of a machine share its pages.
 
-Frequent words: every batch of documents counts its words and passes its most frequent ones on
-(``batch_words``); sums are taken over all batches of the whole corpus, and the ``max_words`` most
-frequent enter the lexicon. So what reaches the driver is bounded. The lexicon changes speed alone, never ids.
+A worker cuts some megabytes of texts into words, and walks their distinct words through the automaton together, a
+byte a step. Words that the lexicon lacks are merged exactly, by the library's model of the vocabulary's merges; these alone are kept
+for later texts (``MEMO`` of them).
 
-Texts that hold the string of a special token, or characters beyond Latin (where Unicode tables of
-libraries may differ), are encoded by the tokenizer itself.
+Frequent words: words are counted over the whole corpus, and the ``max_words`` most
+frequent enter the lexicon, which bounds what reaches the driver. The lexicon changes speed alone, never ids.
+
+Texts that hold the string of a special token, or a character assigned too lately for all Unicode tables to agree (see
+characters.py), are encoded by the tokenizer itself.
 
 Results for odd input: a null or empty text has no ids and decodes to the empty text; an empty
 table gives no rows; rows that repeat are encoded each. Other columns are not read.
@@ -20,11 +22,14 @@ table gives no rows; rows that repeat are encoded each. Other columns are not re
 
 from __future__ import annotations
 
+import atexit
 import functools
 import hashlib
 import json
+import mmap
 import os
 import re
+import shutil
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
@@ -36,18 +41,19 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
+from .characters import agreed, lowered
+
 MAX_WORDS = 60_000
-BATCH_WORDS = 4_000
-#: Words that a worker keeps beside the lexicon.
-MEMO = 300_000
+#: Merged words that a worker keeps: those the lexicon lacks.
+MEMO = 200_000
 #: Longer words are not looked up in the lexicon.
 LONGEST = 48
+#: Characters of text whose words are looked up together, about.
+TOGETHER = 12 << 20
 #: The vocabulary's cut of lower-case text, for ASCII and for the rest.
 ASCII_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 WIDE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WIDE_CUT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WIDE_SPACE}\p{{L}}\p{{N}}]+")
-#: Up to here composition (NFC) changes nothing and lower case is the same everywhere, but for one letter.
-LATIN_END, UNLIKE = "\u024f", "\u0130"
 
 
 def byte_alphabet() -> list[str]:
@@ -68,7 +74,9 @@ class Automaton:
 
     def __init__(self, arrays: dict[str, np.ndarray]) -> None:
         self.first, self.byte, self.target, self.before, self.final = (arrays[f] for f in self.FIELDS)
-        self.edges, self.views = self.byte.tobytes(), [memoryview(a) for a in (self.first, self.target, self.before)]
+        # Edges are in order of (state, byte), so one sorted array finds them.
+        states = np.repeat(np.arange(len(self.first) - 2), np.diff(self.first[:-1]))
+        self.edges = states.astype(np.int64) << 8 | self.byte
 
     @classmethod
     def compiled(cls, strings: list[bytes]) -> Automaton:
@@ -111,38 +119,57 @@ class Automaton:
         kinds = (np.int32, np.uint8, np.int32, np.int32, np.bool_)
         return cls({f: np.array(x, k) for f, x, k in zip(cls.FIELDS, (first, byte, target, before, [f for f, _ in states]), kinds, strict=True)})
 
-    def number(self, string: bytes) -> int:
-        """The string's place among all in sorted order, or -1."""
-        first, target, before = self.views
-        find, state, passed = self.edges.find, first[-1], 0
-        for k in range(len(string)):
-            edge = find(string[k : k + 1], first[state], first[state + 1])
-            if edge < 0:
-                return -1
-            passed += before[edge]
-            state = target[edge]
-        return passed if self.final[state] else -1
+    def numbers(self, strings: list[bytes]) -> np.ndarray:
+        """Each string's place among all in sorted order, or -1; all are walked at once, a byte a step."""
+        data = np.frombuffer(b"".join(strings), np.uint8)
+        sizes = np.array([len(s) for s in strings], np.int64)
+        at, passed = np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.int64)
+        state = np.full(len(sizes), self.first[-1], np.int64)
+        going, step = np.flatnonzero(sizes), 0
+        while len(going) and len(self.edges):
+            wanted = state[going] << 8 | data[at[going] + step]
+            edge = np.minimum(np.searchsorted(self.edges, wanted), len(self.edges) - 1)
+            found = self.edges[edge] == wanted
+            state[going[~found]] = -1
+            going, edge = going[found], edge[found]
+            passed[going] += self.before[edge]
+            state[going] = self.target[edge]
+            step += 1
+            going = going[sizes[going] > step]
+        state[going] = -1  # an automaton without edges
+        return np.where((state >= 0) & self.final[state], passed, -1)
+
+
+#: A word's output: its ids and their strings, each joined by spaces; a zero byte, which is in neither, lies between.
+Output = tuple[str, str]
 
 
 class Lexicon:
-    """The automaton and the ids of its words: those of word n are ids[cuts[n]:cuts[n + 1]]."""
+    """The automaton and the outputs of its words: that of word n is bytes cuts[n] to cuts[n + 1] of ``outputs``."""
 
-    def __init__(self, words: Automaton, cuts: np.ndarray, ids: np.ndarray) -> None:
-        self.words, self.cuts, self.ids = words, cuts, ids
+    def __init__(self, words: Automaton, cuts: np.ndarray, outputs: bytes | mmap.mmap, start: int = 0) -> None:
+        self.words, self.cuts, self.outputs, self.start = words, cuts, outputs, start
 
     @classmethod
-    def compiled(cls, entries: dict[bytes, list[int]]) -> Lexicon:
+    def compiled(cls, entries: dict[bytes, Output]) -> Lexicon:
         words = sorted(entries)
-        cuts = np.concatenate([[0], np.cumsum([len(entries[w]) for w in words])]).astype(np.int32)
-        return cls(Automaton.compiled(words), cuts, np.array([i for w in words for i in entries[w]], np.int32))
-
-    def ids_of(self, word: bytes) -> list[int] | None:
-        n = self.words.number(word)
-        return None if n < 0 else self.ids[self.cuts[n] : self.cuts[n + 1]].tolist()
+        outputs = ["\0".join(entries[w]).encode() for w in words]
+        return cls(Automaton.compiled(words), np.cumsum([0, *map(len, outputs)], dtype=np.int64), b"".join(outputs))
+
+    def outputs_of(self, words: list[bytes]) -> Iterator[Output | None]:
+        numbers, outputs = self.words.numbers(words), self.outputs
+        found = np.maximum(numbers, 0) if len(self.cuts) > 1 else np.zeros(0, np.int64)
+        lo, hi = (self.cuts[found] + self.start).tolist(), (self.cuts[found + 1] + self.start).tolist() if len(found) else []
+        for k, n in enumerate(numbers.tolist()):
+            if n < 0:
+                yield None
+            else:
+                ids, _, tokens = outputs[lo[k] : hi[k]].decode().partition("\0")
+                yield ids, tokens
 
     def save(self, path: str) -> None:
         """One file: a line that tells the arrays' types and lengths, then the arrays, each at a multiple of 8 bytes."""
-        arrays = {f: getattr(self.words, f) for f in Automaton.FIELDS} | {"cuts": self.cuts, "ids": self.ids}
+        arrays = {f: getattr(self.words, f) for f in Automaton.FIELDS} | {"cuts": self.cuts, "outputs": np.frombuffer(self.outputs, np.uint8)}
         head = json.dumps({f: [a.dtype.str, len(a)] for f, a in arrays.items()}).encode()
         with open(path, "wb") as out:
             out.write(head + b" " * (-(len(head) + 1) % 8) + b"\n")
@@ -153,13 +180,13 @@ class Lexicon:
     def mapped(cls, path: str) -> Lexicon:
         with open(path, "rb") as f:
             head = f.readline()
-        pages = np.memmap(path, np.uint8, "r")
+            pages = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         at, arrays = len(head), {}
         for field, (kind, n) in json.loads(head).items():
-            size = n * np.dtype(kind).itemsize
-            arrays[field] = pages[at : at + size].view(kind)
+            start, size = at, n * np.dtype(kind).itemsize
+            arrays[field] = np.frombuffer(pages, kind, n, start)
             at += size + -size % 8
-        return cls(Automaton(arrays), arrays["cuts"], arrays["ids"])
+        return cls(Automaton(arrays), arrays["cuts"], pages, start)
 
 
 class Merger:
@@ -174,52 +201,68 @@ class Merger:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = dict(enumerate(byte_alphabet()))
 
-    def merged(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
+    def merged(self, word: str) -> Output:
+        plain = word.isascii() and word.isprintable()  # stands for itself
+        tokens = self.model.tokenize(word if plain else word.encode().decode("latin-1").translate(self.alphabet))
+        return " ".join([str(t.id) for t in tokens]), " ".join([t.value for t in tokens])
 
 
 def cut(text: str) -> list[str]:
-    """The words of a text within Latin."""
-    return (ASCII_CUT if text.isascii() else WIDE_CUT).findall(text.lower())
+    """The words of a text that all tables treat alike."""
+    return (ASCII_CUT if text.isascii() else WIDE_CUT).findall(lowered(text))
 
 
-class Coder(dict):
-    """Encodes and decodes texts. As a dict: word -> its ids as text; ``tokens`` has its decoded text. Both are filled on demand."""
+class Coder:
+    """Encodes and decodes texts, some megabytes at a time."""
 
     def __init__(self, merger: Merger, lexicon: Lexicon) -> None:
-        super().__init__()
-        self.merger, self.lexicon, self.tokens = merger, lexicon, {}
-
-    def __missing__(self, word: str) -> str:
-        ids = (self.lexicon.ids_of(word.encode()) if len(word) <= LONGEST else None) or self.merger.merged(word)
-        self.tokens[word] = self.decoded(ids)
-        self[word] = text = " ".join(map(str, ids))
-        return text
-
-    def by_word(self, text: str) -> bool:
-        return not any(s in text for s in self.merger.special) and (text.isascii() or max(text) <= LATIN_END and UNLIKE not in text)
-
-    def encoded(self, text: str) -> list[int]:
-        if not self.by_word(text):
-            return self.merger.tokenizer.encode(text, add_special_tokens=False).ids
-        return [int(i) for w in cut(text) for i in self[w].split()]
+        self.merger, self.lexicon = merger, lexicon
+        self.merged: dict[str, Output] = {}
+
+    def words_of(self, text: str) -> list[str] | None:
+        """The text's words; None if the tokenizer must see the text whole."""
+        return None if any(s in text for s in self.merger.special) or not agreed(text) else cut(text)
+
+    def outputs(self, words: list[str]) -> tuple[dict[str, str], dict[str, str]]:
+        """Ids and strings by word, from the lexicon, and by merging what it lacks."""
+        ids, tokens, merged = {}, {}, self.merged
+        if len(merged) > MEMO:
+            merged.clear()
+        for word, found in zip(words, self.lexicon.outputs_of([w.encode() if len(w) <= LONGEST else b"" for w in words]), strict=True):
+            if found is None:
+                found = merged.get(word)
+                if found is None:
+                    found = merged[word] = self.merger.merged(word)
+            ids[word], tokens[word] = found
+        return ids, tokens
 
     def decoded(self, ids: list[int]) -> str:
         """The vocabulary names no decoder, so tokens are joined by spaces as they are."""
         return " ".join([self.merger.strings[i] for i in ids])
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, and the ids' and the decoded text's SHA-256."""
-        if self.by_word(text):
-            words = cut(text)
-            ids, tokens = " ".join(map(self.__getitem__, words)), " ".join(map(self.tokens.__getitem__, words))
-        else:
-            numbers = self.encoded(text)
-            ids, tokens = " ".join(map(str, numbers)), self.decoded(numbers)
-        if len(self) > MEMO:
-            self.clear()
-            self.tokens.clear()
-        return ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(tokens.encode()).hexdigest()
+    def coded(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """Each text's ids, as numbers joined by spaces, and its decoded text."""
+        lists = [self.words_of(t) for t in texts]
+        known, tokens = self.outputs(list(set().union(*(w for w in lists if w is not None))))
+        for text, words in zip(texts, lists, strict=True):
+            if words is None:
+                ids = self.merger.tokenizer.encode(text, add_special_tokens=False).ids
+                yield " ".join(map(str, ids)), self.decoded(ids)
+            else:
+                yield " ".join(map(known.__getitem__, words)), " ".join(map(tokens.__getitem__, words))
+
+
+def together(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of about TOGETHER characters; a longer one is a run of its own."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 @functools.lru_cache(maxsize=1)
@@ -228,29 +271,30 @@ def coder(tokenizer_file: str, lexicon_file: str) -> Coder:
     return Coder(Merger(tokenizer_file), Lexicon.mapped(lexicon_file))
 
 
-def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS, batch_words: int = BATCH_WORDS) -> list[str]:
-    """The most frequent words; at most ``max_words`` reach the driver."""
+def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS) -> list[str]:
+    """The most frequent words of all texts; at most ``max_words`` reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words: Counter[str] = Counter()
             for text in batch.column(0):
                 t = text.as_py()
-                if t and (t.isascii() or max(t) <= LATIN_END):
+                if t and agreed(t):
                     words.update(cut(t))
-            top = [(w, n) for w, n in words.most_common(batch_words) if len(w) <= LONGEST]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+            short = [w for w in words if len(w) <= LONGEST]
+            yield pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array([words[w] for w in short], pa.int64())], names=["word", "n"])
 
     found = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(max_words).collect()]
 
 
 def ship_lexicon(docs: DataFrame, tokenizer_file: str, **bounds: int) -> str:
-    """Compiles the lexicon and hands its file to Spark; returns the file's name there."""
+    """Compiles the lexicon and hands its file to Spark, which serves it while the driver runs; returns the file's name there."""
     merger = Merger(tokenizer_file)
     lexicon = Lexicon.compiled({w.encode(): merger.merged(w) for w in frequent_words(docs, **bounds)})
-    handle, path = tempfile.mkstemp(prefix="lexicon-", suffix=".bin")
-    os.close(handle)
+    folder = tempfile.mkdtemp(prefix="lexicon-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/{os.path.basename(folder)}.bin"
     lexicon.save(path)
     docs.sparkSession.sparkContext.addFile(path)
     return os.path.basename(path)
@@ -260,18 +304,21 @@ def code(docs: DataFrame, tokenizer_file: str, with_ids: bool = False, **bounds:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; ``with_ids`` adds the ids and the decoded text."""
     name = ship_lexicon(docs, tokenizer_file, **bounds)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(tokenizer_file, SparkFiles.get(name))
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            found = [own.digests(t) for t in texts]
-            columns = [batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                ids = [own.encoded(t) for t in texts]
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array([own.decoded(i) for i in ids], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            at = 0
+            for texts in together([t.as_py() or "" for t in batch.column(1)]):
+                rows = []
+                for ids, decoded in own.coded(texts):
+                    row = (ids.count(" ") + 1 if ids else 0, sha(ids), sha(decoded))
+                    rows.append((*row, list(map(int, ids.split())), decoded) if with_ids else row)
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 1 + len(columns)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(texts)], *columns], names=names)
+                at += len(texts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import utf8
+from .characters import agreed
 
 #: Longest sequence.
 LENGTH = 1024
@@ -33,8 +33,6 @@ MEMO = 400_000
 ASCII_CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 WIDE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WIDE_CUT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WIDE_SPACE}\p{{L}}\p{{N}}]+|[{WIDE_SPACE}]+(?![^{WIDE_SPACE}])|[{WIDE_SPACE}]+"
-#: Beyond this code point Unicode tables of the libraries may differ; such texts go to the tokenizer itself.
-LATIN_END = "\u024f"
 
 
 class Pretokens(dict):
@@ -57,7 +55,7 @@ def id_encoder(tokenizer_file: str, ranks_file: str) -> Callable[[str], bytes]:
     """A function from a text to its packed ids, the same as the tokenizer in ``tokenizer_file`` gives.
 
     Words repeat, so ids are kept by pre-token; unknown pre-tokens are merged by the same vocabulary as
-    ranks. Texts with characters beyond Latin or with a special token's string take the tokenizer.
+    ranks. Texts with a special token's string, or a character assigned too lately for all tables, take the tokenizer.
     """
     import base64
 
@@ -74,7 +72,7 @@ def id_encoder(tokenizer_file: str, ranks_file: str) -> Callable[[str], bytes]:
     ascii_cut, wide_cut = re.compile(ASCII_CUT).findall, regex.compile(WIDE_CUT).findall
 
     def encode(text: str) -> bytes:
-        if any(s in text for s in special) or not text.isascii() and max(text) > LATIN_END:
+        if any(s in text for s in special) or not agreed(text):
             return b"".join(i.to_bytes(4, "little") for i in whole.encode(text, add_special_tokens=False).ids)
         return b"".join(map(memo.__getitem__, (ascii_cut if text.isascii() else wide_cut)(text)))
 

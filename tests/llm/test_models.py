@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
 from tessera.llm import cover_tree, language, lexicon
 
@@ -18,17 +19,19 @@ FILE = TOKENS.path("word_bpe_49k.json")
 def test_automaton_numbers_words_in_order():
     words = sorted({w.encode() for r in rows() if r[1] for w in r[1].split()} | {b"a", b"ab", b"abc", b"b", b"bc", b"\xff"})
     automaton = lexicon.Automaton.compiled(words)
-    assert [automaton.number(w) for w in words] == list(range(len(words)))
-    assert automaton.number(b"") == automaton.number(b"abcd") == automaton.number(b"zz") == -1
+    assert automaton.numbers(words[::-1]).tolist() == list(range(len(words)))[::-1]
+    assert automaton.numbers([b"", b"abcd", b"zz", b"a", b""]).tolist() == [-1, -1, -1, words.index(b"a"), -1]
     assert len(lexicon.Automaton.compiled([b"bats", b"cats", b"rats"]).final) == 5
-    assert lexicon.Automaton.compiled([]).number(b"a") == -1
+    assert lexicon.Automaton.compiled([]).numbers([b"a", b""]).tolist() == [-1, -1]
 
 
 def test_lexicon_file(tmp_path):
-    entries = {b"one": [1], b"two": [2, 3], b"twos": [2, 4]}
+    entries = {b"one": ("1", "one</w>"), b"two": ("2 3", "t wo</w>"), b"twos": ("2 4", "t w\u0120os</w>")}
     lexicon.Lexicon.compiled(entries).save(str(tmp_path / "x"))
     back = lexicon.Lexicon.mapped(str(tmp_path / "x"))
-    assert {w: back.ids_of(w) for w in entries} == entries and back.ids_of(b"tw") is None
+    assert dict(zip(entries, back.outputs_of(list(entries)), strict=True)) == entries and list(back.outputs_of([b"tw", b""])) == [None, None]
+    lexicon.Lexicon.compiled({}).save(str(tmp_path / "y"))
+    assert list(lexicon.Lexicon.mapped(str(tmp_path / "y")).outputs_of([b"tw"])) == [None]
 
 
 @pytest.mark.parametrize("max_words", [1, 10_000])
@@ -47,6 +50,54 @@ def test_bpe(spark, max_words):
     assert lexicon.code(table(spark, []), FILE).count() == 0
 
 
+SCRIPTS = [
+    "It\u2019s \u201ccurly\u201d \u2014 a dash\u2026 and an en\u2013dash", "\u041f\u0440\u0438\u0432\u0435\u0442, \u041c\u0418\u0420! \u0401\u043b\u043a\u0430 \u0438\u0306", "\u039f\u0394\u039f\u03a3 \u03a3\u03af\u03c3\u03c5\u03c6\u03bf\u03c2 \u03b1\u0301",
+    "\u65e5\u672c\u8a9e\u306e\u30c6\u30ad\u30b9\u30c8\u3001\u304b\u3099 \uff21\uff22\uff23", "\uc548\ub155 \u1112\u1161\u11ab", "\U0001f600\U0001f44d\U0001f3fd family", "\u0130stanbul cafe\u0301 \u00bd \u0663 \u2160 a\u00a0b\u3000c\u200bd", "\u05e9\u05dc\u05d5\u05dd \u0645\u0631\u062d\u0628\u0627", "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35", "\U00020000 \u00df\ufb01", "late \u088f \ua7ce \U0001246f \U000323b0 \u208f",
+]
+
+
+def test_texts_of_all_scripts(spark):
+    from tokenizers import Tokenizer
+
+    from tessera.llm import packing
+
+    texts = SCRIPTS + [a + b for a in SCRIPTS for b in SCRIPTS[::3]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = Tokenizer.from_file(FILE)
+    for r in lexicon.code(docs, FILE, with_ids=True, max_words=20).collect():
+        ids = whole.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.ids == ids and r.decoded == whole.decode(ids, skip_special_tokens=False), texts[r.doc_id]
+    whole = Tokenizer.from_file(TOKENS.path("byte_bpe_50k.json"))
+    got = {}
+    for r in packing.pack(docs, TOKENS.path("byte_bpe_50k.json"), TOKENS.path("byte_bpe_50k.tiktoken"), with_ids=True).orderBy("doc_id", "start").collect():
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert all(got[k] == whole.encode(t, add_special_tokens=False).ids + [0] for k, t in enumerate(texts))
+
+
+def test_most_scripts_go_by_word():
+    from tessera.llm.characters import agreed
+
+    assert [agreed(t) for t in SCRIPTS] == [True] * (len(SCRIPTS) - 1) + [False]
+    merger = lexicon.Merger(FILE)
+    ids = {w: merger.merged(w) for t in SCRIPTS[:-1] for w in lexicon.cut(t)}
+    coder = lexicon.Coder(merger, lexicon.Lexicon.compiled({w.encode(): i for w, i in ids.items()}))
+    list(coder.coded(SCRIPTS[:-1]))
+    assert not coder.merged  # all from the transducer
+
+
+def test_tables_agree_on_characters():
+    """Cuts and lower case of every agreed character, in context, as the library's."""
+    from tessera.llm import packing
+    from tessera.llm.characters import agreed, lowered
+
+    back = {c: i for i, c in enumerate(lexicon.byte_alphabet())}
+    text = "\n\n".join(f"a{c}b 1{c}2 .{c}" for c in map(chr, [*range(0x80, 0xD800, 5), *range(0xE000, 0x10000, 7), *range(0x1F000, 0x1FB00, 3)]) if agreed(c))
+    for name, cut, prepared in (("byte_bpe_50k.json", regex.compile(packing.WIDE_CUT).findall, text), ("word_bpe_49k.json", lexicon.WIDE_CUT.findall, lowered(text))):
+        whole = lexicon.Tokenizer.from_file(TOKENS.path(name))
+        pieces = whole.pre_tokenizer.pre_tokenize_str(whole.normalizer.normalize_str(text) if whole.normalizer else text)
+        assert [bytes(back[c] for c in p).decode() for p, _ in pieces] == cut(prepared)
+
+
 def test_language_id(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = language.identify(docs).collect()
