@@ -8,14 +8,18 @@ taken greedily among its points so that each point lies within half the radius o
 (levels are nested). Nodes carry the true radius of their points. Small nodes are leaves.
 
 Traversal: a pair of nodes further apart than the sum of their radii and t has no link; one whose farthest points
-must be within t is linked as a whole, without looking at its points; others go down, children against
+must be within t is linked as a whole, at the nodes, without looking at its points, which learn of it by one sum at the end; others go down, children against
 children in one matrix product; leaves are compared point by point.
 
 Distribution: rows that are equal (label and vector) are one point with a weight, so copies cost
 nothing. The points of a label with more than ``cell_rows`` are dealt to the nearest of some pivots
-(about one per cell_rows points, ``MOST_PIVOTS`` at most, chosen by a hash). With a cell's radius r, a point x can have links into cell j only if its
-distance to pivot j is <= r + t; x is sent to the pair task (home, j) for these j only. Each pair of
-points meets in one task. A task returns sums of weights and a star for each group, not its pairs.
+(about one per cell_rows points, ``MOST_PIVOTS`` at most, chosen by a hash); a cell that still has more than cell_rows
+is split into parts by a hash, so no task holds more than about twice that, whatever the label's size. With a cell's radius r, a point
+x can have links into cell j only if its distance to pivot j is <= r + t; x is sent to the tasks of its own part and the parts of these j
+only. Each pair of points meets in one task. A task returns sums of weights and a star for each group, not its pairs.
+
+Where vectors do not cluster, all of a label's parts are within reach of each other: work is quadratic in the label's distinct
+vectors then (in many dimensions no bound by radii prunes), as blocks of matrix products, spread over all pairs of parts.
 
 Results for odd input: vectors that are null, empty, zero, or hold null or non-finite components, and rows
 with a null label or id link with nothing: 0 links, a component of their own (the id, if there is one), kept. Vectors
@@ -40,6 +44,8 @@ from .simhash import Forest
 COSINE = 0.98
 CELL_ROWS = 4096
 MOST_PIVOTS = 64
+#: Parts of a cell, at most; they are numbered apart.
+PARTS = 1 << 40
 #: Points of a leaf, at most.
 LEAF = 24
 #: Entries of a matrix of distances, about.
@@ -111,28 +117,103 @@ class CoverTree:
     def parts(self, node: int) -> list[int]:
         return self.children[node] or [node]
 
-
-def linked_points(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Links between points of two trees (or of one, given twice): (from a, from b, whole).
-
-    ``whole``: every point of the first array is linked with every one of the second; otherwise they are pairs.
+    @property
+    def first(self) -> np.ndarray:
+        """A point of each node: its first one."""
+        return self.order[[lo for lo, _ in self.span]] if self.span else self.order
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """Each node's sum over its points."""
+        run = np.concatenate([[0], np.cumsum(weights[self.order])])
+        lo, hi = np.array(self.span, np.int64).reshape(-1, 2).T
+        return run[hi] - run[lo]
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Each point's sum over the nodes that it is in."""
+        lo, hi = np.array(self.span, np.int64).reshape(-1, 2).T
+        edges = np.zeros(len(self.order) + 1, np.int64)
+        np.add.at(edges, lo, values)
+        np.add.at(edges, hi, -values)
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.cumsum(edges[:-1])
+        return out
+
+
+class Links:
+    """What a traversal finds, told by nodes where all their points take part, and by points otherwise.
+
+    ``whole`` of a node: how much weight each of its points is linked with through links that hold for all of them. A node
+    linked with itself counts its own weight in and each point's own out again (``selves``).
     """
+
+    def __init__(self, a: CoverTree, b: CoverTree, weights_a: np.ndarray, weights_b: np.ndarray) -> None:
+        self.trees, self.weights = (a, b), (weights_a, weights_b)
+        self.mass = [t.sums(w) for t, w in zip(self.trees, self.weights, strict=True)]
+        self.whole = [np.zeros(len(t.centre), np.int64) for t in self.trees]
+        self.selves = np.zeros(len(a.centre), np.int64)
+        self.nodes: list[tuple[np.ndarray, np.ndarray]] = []
+        self.points: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def all_of(self, u: np.ndarray, v: np.ndarray, same: bool) -> None:
+        """Each point of node u with each of v; of one tree, a node may come with itself."""
+        itself = u == v if same else np.zeros(len(u), bool)
+        self.selves[u[itself]] += 1
+        u, v = u[~itself], v[~itself]
+        np.add.at(self.whole[0], u, self.mass[1][v])
+        np.add.at(self.whole[1], v, self.mass[0][u])
+        self.nodes.append((u, v))
+
+    def sums(self, side: int) -> np.ndarray:
+        """Weight each point of a side is linked with."""
+        tree, weights = self.trees[side], self.weights[side]
+        whole = self.whole[side].copy()
+        if side == 0:
+            whole += self.selves * self.mass[0]
+        total = tree.spread(whole)
+        if side == 0:
+            total -= tree.spread(self.selves) * weights
+        for pair in self.points:
+            np.add.at(total, pair[side], self.weights[1 - side][pair[1 - side]])
+        return total
+
+    def edges(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of points, of the first tree and the second, that join all that is linked; see ``unions`` for the rest."""
+        centres = [np.array(t.centre, np.int64) for t in self.trees]
+        for u, v in self.nodes:
+            yield centres[0][u], centres[1][v]
+        yield from self.points
+
+    def unions(self, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points of a side and the centre of a node all of whose points are linked with something in common."""
+        tree = self.trees[side]
+        met = np.zeros(len(tree.centre), bool)
+        for pair in self.nodes:
+            met[pair[side]] = True
+        if side == 0:
+            met |= self.selves > 0
+        top = np.flatnonzero(met)
+        parts = [tree.members(int(k)) for k in top]
+        return (np.concatenate(parts), np.repeat(np.array(tree.centre, np.int64)[top], [len(p) for p in parts])) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def linked_points(a: CoverTree, b: CoverTree, cosine: float, weights_a: np.ndarray, weights_b: np.ndarray) -> Links:
+    """All links between points of two trees, or of one, given twice."""
+    found, same = Links(a, b, weights_a, weights_b), a is b
     if not len(a.points) or not len(b.points):
-        return
-    reach, same = math.sqrt(2 - 2 * cosine), a is b
-    ra, rb = np.array(a.radius), np.array(b.radius)
-    ca, cb = a.points[a.centre], b.points[b.centre]
+        return found
+    reach = math.sqrt(2 - 2 * cosine)
+    (ra, ca, na), (rb, cb, nb) = ((np.array(t.radius), t.points[t.centre], np.array([hi - lo for lo, hi in t.span])) for t in (a, b))
     waiting = [(0, 0)]
     while waiting:
         u, v = waiting.pop()
-        if not a.children[u] and not b.children[v]:
+        if na[u] <= LEAF and nb[v] <= LEAF or not a.children[u] and not b.children[v]:
             p, q = a.members(u), b.members(v)
             i, j = np.nonzero(a.points[p] @ b.points[q].T >= cosine)
             p, q = p[i], q[j]
             if same and u == v:
                 p, q = p[p < q], q[p < q]
             if len(p):
-                yield p, q, False
+                found.points.append((p, q))
             continue
         us, vs = np.array(a.parts(u)), np.array(b.parts(v))
         block = max(1, CELLS // len(vs))
@@ -140,20 +221,26 @@ def linked_points(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[n
             x = us[k : k + block]
             apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (ca[x] @ cb[vs].T)))
             i, j = np.nonzero(apart <= ra[x][:, None] + rb[vs][None, :] + reach + EPS)
-            far = apart[i, j] + ra[x][i] + rb[vs][j]
-            m, n = x[i], vs[j]
+            m, n, far = x[i], vs[j], apart[i, j] + ra[x][i] + rb[vs][j]
             if same and u == v:
                 once = m <= n
                 m, n, far = m[once], n[once], far[once]
-            for s, t, f in zip(m.tolist(), n.tolist(), far.tolist(), strict=True):
-                if f <= reach - EPS:
-                    p, q = a.members(s), b.members(t)
-                    if not (same and s == t):
-                        yield p, q, True
-                    elif len(p) > 1:
-                        yield p, p, True
-                else:
-                    waiting.append((s, t))
+            whole = far <= reach - EPS
+            if same:
+                whole &= (m != n) | (na[m] > 1)
+            found.all_of(m[whole], n[whole], same)
+            left = ~whole
+            if same:
+                left &= (m != n) | (na[m] > 1)  # a point has no link with itself
+            # Pairs of single points are compared at once, the others go down.
+            single = left & (na[m] == 1) & (nb[n] == 1)
+            if single.any():
+                p, q = np.array(a.first)[m[single]], np.array(b.first)[n[single]]
+                close = (a.points[p] * b.points[q]).sum(axis=1) >= cosine
+                found.points.append((p[close], q[close]))
+            rest = left & ~single
+            waiting += zip(m[rest].tolist(), n[rest].tolist(), strict=True)
+    return found
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -178,20 +265,15 @@ def compare_cells(group: pa.Table, cosine: float) -> pa.Table:
     # A task of two cells may hold points of one only, as reach is one-sided; then there is nothing to compare.
     itself = group.column("first")[0] == group.column("last")[0]
     b, other = (a, one) if itself else (CoverTree(points[two]), two)
-    for p, q, whole in linked_points(a, b, cosine):
-        p, q = one[p], other[q]
-        if not whole:
-            np.add.at(links, p, weights[q])
-            np.add.at(links, q, weights[p])
-            forest.join(p, q)
-        elif len(p) == len(q) and np.array_equal(p, q):
-            links[p] += weights[p].sum() - weights[p]
-            forest.join(p[1:], np.repeat(p[0], len(p) - 1))
-        else:
-            links[p] += weights[q].sum()
-            links[q] += weights[p].sum()
-            forest.join(p, np.repeat(q[0], len(p)))
-            forest.join(q, np.repeat(p[0], len(q)))
+    told = linked_points(a, b, cosine, weights[one], weights[other])
+    links[one] += told.sums(0)
+    links[other] += told.sums(1)
+    for side, at in ((0, one), (1, other)):
+        points, centres = told.unions(side)
+        forest.join(at[points], at[centres])
+    edges = list(told.edges())
+    if edges:
+        forest.join(one[np.concatenate([p for p, _ in edges])], other[np.concatenate([q for _, q in edges])])
     found = np.flatnonzero(links)
     return pa.table({"point": pa.array(ids[found], pa.int64()), "links": pa.array(links[found], pa.int64()), "root": pa.array(ids[forest.roots(found)], pa.int64())})
 
@@ -223,11 +305,15 @@ def pair_tasks(points: DataFrame, cosine: float, cell_rows: int, most_pivots: in
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.list_(pa.float64())), pa.array(home, pa.int32())], names=[*batch.schema.names[:5], "apart", "home"])
 
     placed = settled(met.mapInArrow(near, met.drop("pivots").schema.add("apart", ArrayType(DoubleType())).add("home", IntegerType())))
-    radii = placed.groupBy(*kind, "home").agg(F.max(F.get("apart", F.col("home"))).alias("radius"))
-    radii = radii.groupBy(*kind).agg(F.map_from_entries(F.collect_list(F.struct("home", "radius"))).alias("radii"))
-    reached = F.filter(F.sequence(F.lit(0), F.size("apart") - 1), lambda j: (j == F.col("home")) | (F.get("apart", j) <= F.try_element_at("radii", j) + reach + EPS))
-    sent = placed.join(radii, kind).select(*kind, "point", "weight", "vector", "home", F.explode(reached).alias("other"))
-    return sent.select(*kind, F.least("home", "other").alias("first"), F.greatest("home", "other").alias("last"), (F.col("home") > F.col("other")).alias("second"), "point", "weight", "vector")
+    cells = placed.groupBy(*kind, "home").agg(F.max(F.get("apart", F.col("home"))).alias("radius"), F.ceil(F.count(F.lit(1)) / cell_rows).alias("parts"))
+    cells = cells.groupBy(*kind).agg(F.map_from_entries(F.collect_list(F.struct("home", F.struct("radius", "parts")))).alias("cells"))
+    cell = lambda j: F.try_element_at("cells", j)
+    part = lambda j, k: j.cast("long") * PARTS + k
+    reached = F.filter(F.sequence(F.lit(0), F.size("apart") - 1), lambda j: cell(j).isNotNull() & ((j == F.col("home")) | (F.get("apart", j) <= cell(j)["radius"] + reach + EPS)))
+    others = F.flatten(F.transform(reached, lambda j: F.transform(F.sequence(F.lit(0).cast("long"), cell(j)["parts"] - 1), lambda k: part(j, k))))
+    own = part(F.col("home"), F.pmod(F.xxhash64("point", F.lit(1)), cell(F.col("home"))["parts"]))
+    sent = placed.join(cells, kind).select(*kind, "point", "weight", "vector", own.alias("own"), F.explode(others).alias("other"))
+    return sent.select(*kind, F.least("own", "other").alias("first"), F.greatest("own", "other").alias("last"), (F.col("own") > F.col("other")).alias("second"), "point", "weight", "vector")
 
 
 def dedup_embeddings(rows: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROWS, most_pivots: int = MOST_PIVOTS) -> DataFrame:

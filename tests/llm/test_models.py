@@ -168,6 +168,29 @@ def test_embedding_dedup(spark, cell_rows, cosine):
     assert cover_tree.dedup_embeddings(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most_pivots", [1, 3, 500])
+def test_embedding_dedup_splits_cells(spark, most_pivots):
+    """Cells of more than cell_rows points, and more cells than a label had once at most."""
+    data = [(k, v, 0) for k, v, label in vectors(n=700) if label is not None]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+    tasks = cover_tree.pair_tasks(df.where("vec_id < 700").selectExpr("label", "size(embedding) as size", "embedding as vector", "vec_id as point", "1L as weight"), 0.98, 8, most_pivots)
+    sizes = tasks.groupBy("first", "last", "second").count().collect()
+    assert max(r["count"] for r in sizes) < 40 and (most_pivots < 500 or len({r["first"] for r in sizes}) > 64)
+    out = cover_tree.dedup_embeddings(df, 0.98, 8, most_pivots).collect()
+    assert Counter(tuple(r) for r in out) == brute_links(data, 0.98)
+
+
+def test_near_copies_are_linked_as_a_whole():
+    draw = np.random.default_rng(6)
+    tight = cover_tree.unit(np.concatenate([[1.0, 0, 0, 0] + draw.normal(size=(500, 4)) * 0.01, draw.normal(size=(200, 4))]))
+    tree, weights = cover_tree.CoverTree(tight), draw.integers(1, 4, 700)
+    told = cover_tree.linked_points(tree, tree, 0.98, weights, weights)
+    linked = tight @ tight.T >= 0.98
+    np.fill_diagonal(linked, False)
+    assert (told.sums(0) + told.sums(1)).tolist() == (linked @ weights).tolist()
+    assert sum(len(p) for p, _ in told.points) + sum(len(u) for u, _ in told.nodes) < 0.1 * linked.sum() / 2
+
+
 @pytest.mark.parametrize("cell_rows", [10, 40])
 def test_embedding_dedup_counts_a_link_once_across_uneven_cells(spark, cell_rows):
     draw = np.random.default_rng(7)
