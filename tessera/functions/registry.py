@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession, functions as F
 from . import scalar
 
 
+#: Functions that users have added.
+OWN: dict[str, Callable] = {}
+
+
 class Runs:
     """A table function: runs of equal values of an array, as (start, copies, value)."""
 
@@ -20,6 +24,18 @@ class Runs:
                 start = k
 
 
+def register_table_function(spark: SparkSession, name: str, function: type, returns: str) -> None:
+    """Makes a class with eval() (rows from arguments) a table function of spark.sql() and of the language's sources."""
+    spark.udtf.register(name, F.udtf(function, returnType=returns))
+
+
+def register_function(name: str, function: Callable) -> None:
+    """Adds a function from columns to a column; scalar_function() finds it by name. Names of this package stay as they are."""
+    if name in OWN or callable(getattr(scalar, name, None)):
+        raise KeyError(f"{name} is taken")
+    OWN[name] = function
+
+
 def register(spark: SparkSession) -> None:
     """Makes the table functions available to spark.sql()."""
     spark.udtf.register("runs", F.udtf(Runs, returnType="start int, copies int, value bigint"))
@@ -27,7 +43,7 @@ def register(spark: SparkSession) -> None:
 
 def scalar_function(name: str) -> Callable:
     """A column function of this package by name."""
-    found = getattr(scalar, name, None)
+    found = OWN.get(name) or getattr(scalar, name, None)
     if not callable(found) or name.startswith("_"):
         raise KeyError(name)
     return found

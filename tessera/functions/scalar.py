@@ -31,12 +31,42 @@ def byte_values(column: Column) -> Column:
     return F.when(F.length(digits) == 0, F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)), lambda k: F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("long")))
 
 
+def floor_div(column: Column, by: int) -> Column:
+    """Whole numbers throughout: exact for all of 64 bits, and towards minus infinity, unlike a division of doubles."""
+    return F.call_function("div", column - F.pmod(column, F.lit(by)), F.lit(by))
+
+
 def fnv1_32(column: Column) -> Column:
     """FNV-1 of a binary: multiply, then xor with the byte."""
     prime, start = FNV[32]
     return F.aggregate(byte_values(column), F.lit(start), lambda h, b: (h * prime).bitwiseAND(ALL_ONES).bitwiseXOR(b))
 
 
+def fnv1_64(column: Column) -> Column:
+    """FNV-1 of a binary in 64 bits, as a signed number. The state is two halves, as no product of theirs overflows."""
+    prime, start = FNV[64]
+    above, below = prime >> 32, prime & ALL_ONES
+    low, high = (lambda s: s["low"]), (lambda s: s["high"])
+
+    def step(s: Column, b: Column) -> Column:
+        product = low(s) * below
+        upper = high(s) * below + low(s) * above + F.shiftrightunsigned(product, 32)
+        return F.struct(upper.bitwiseAND(ALL_ONES).alias("high"), product.bitwiseAND(ALL_ONES).bitwiseXOR(b).alias("low"))
+
+    first = F.struct(F.lit(start >> 32).cast("long").alias("high"), F.lit(start & ALL_ONES).cast("long").alias("low"))
+    return F.aggregate(byte_values(column), first, step, lambda s: F.shiftleft(high(s), 32).bitwiseOR(low(s)))
+
+
+def row_id(page: Column, slot: Column, size: Column) -> Column:
+    """A place as one value; its parts are fields."""
+    return F.struct(page.cast("long").alias("page"), slot.cast("int").alias("slot"), size.cast("long").alias("size"))
+
+
+def type_and_size(column: Column) -> Column:
+    """A value's type by name, and its bytes (texts and binaries: of the value; else as text)."""
+    return F.struct(F.typeof(column).alias("type"), F.octet_length(column.cast("string")).cast("long").alias("size"))
+
+
 def xor_folded(hash32: Column, bits: int) -> Column:
     """A 32-bit hash folded to fewer bits: the upper part is xored onto the lower."""
     return F.shiftrightunsigned(hash32, bits).bitwiseXOR(hash32.bitwiseAND((1 << bits) - 1)).bitwiseAND((1 << bits) - 1)
@@ -109,23 +139,23 @@ def calendar_days(year: Column, week: Column, day: Column) -> Column:
 def calendar_add(year: Column, week: Column, day: Column, days: Column) -> Column:
     """Year, week and day after so many days."""
     at = calendar_days(year, week, day) + days
-    return F.struct(F.floor(at / 364).alias("year"), F.floor(F.pmod(at, F.lit(364)) / 7).alias("week"), F.pmod(at, F.lit(7)).alias("day"))
+    return F.struct(floor_div(at, 364).alias("year"), floor_div(F.pmod(at, F.lit(364)), 7).alias("week"), F.pmod(at, F.lit(7)).alias("day"))
 
 
 def retail_price(part: Column) -> Column:
-    """The price of a part by its number, in hundredths, in whole numbers throughout."""
-    return 100 * F.floor((90000 + F.pmod(F.floor(part / 10), F.lit(20001)) + 100 * F.pmod(part, F.lit(1000))) / 100)
+    """The price of a part by its number, in hundredths, in whole numbers throughout (fixed values: the formula's numbers)."""
+    return 100 * floor_div(90000 + F.pmod(floor_div(part, 10), F.lit(20001)) + 100 * F.pmod(part, F.lit(1000)), 100)
 
 
 def rounded_down(column: Column, quantum: int) -> Column:
-    return F.floor(column / quantum) * quantum
+    return column - F.pmod(column, F.lit(quantum))
 
 
 def rounded_up(column: Column, quantum: int) -> Column:
-    return F.ceil(column / quantum) * quantum
+    return column + F.pmod(quantum - F.pmod(column, F.lit(quantum)), F.lit(quantum))
 
 
 def synthetic_columns(i: Column) -> list[Column]:
     """Ten columns of different run lengths from a row number (run lengths are fixed values)."""
     runs = (1, 65536, 12514500, 10000000, 65536, 12514500, 10000000, 65536, 12514500, 10000000)
-    return [F.floor(i / n).cast("long").alias(f"c{k}") for k, n in enumerate(runs)]
+    return [floor_div(i, n).alias(f"c{k}") for k, n in enumerate(runs)]

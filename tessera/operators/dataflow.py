@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalar import raw_crc
+from ..functions.scalar import floor_div, raw_crc
 
 
 def queue_of(key: str, queues: int, by_crc: bool = True) -> Column:
@@ -32,6 +32,11 @@ def group_flat(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key)
 
 
+def distinct_groups(df: DataFrame, key: str) -> DataFrame:
+    """How many groups there are, and how many rows in them."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"))
+
+
 def group_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
@@ -48,6 +53,17 @@ def group_apply(df: DataFrame, key: str, apply, schema) -> DataFrame:
     return df.groupBy(key).applyInPandas(apply, schema)
 
 
+def by_page(key: str, rows: int) -> Column:
+    """A queue expression: the page a key is in."""
+    return floor_div(F.col(key), rows)
+
+
+def by_operation_key(operation: str, kinds: tuple[str, ...], key: str) -> Column:
+    """A queue expression: the checksum of a logged operation's key; other kinds of operations are an error."""
+    wrong = F.raise_error(F.concat(F.lit("no keyed operation: "), F.col(operation)))
+    return F.when(F.col(operation).isin(*kinds), raw_crc(F.col(key))).otherwise(wrong.cast("long"))
+
+
 def routed(df: DataFrame, queue: Column, queues: int) -> DataFrame:
     """Rows dealt to queues by any expression."""
     return df.withColumn("queue", F.pmod(queue, F.lit(queues))).repartition(queues, "queue")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.scalar import floor_div, rounded_down, rounded_up
 from .ordering import running_sum
 
 
@@ -20,7 +21,7 @@ def run_lengths(df: DataFrame, by: Sequence[str], order: str, value: str, longes
     runs = runs.withColumn("_run", F.sum("_new").over(w))
     if longest:
         within = F.row_number().over(Window.partitionBy(*by, "_run").orderBy(order)) - 1
-        runs = runs.withColumn("_part", F.floor(within / longest))
+        runs = runs.withColumn("_part", floor_div(within, longest))
     else:
         runs = runs.withColumn("_part", F.lit(0))
     out = runs.groupBy(*by, "_run", "_part").agg(F.min("_at").alias("start"), F.count(F.lit(1)).alias("copies"), F.first("value").alias("value"))
@@ -32,6 +33,11 @@ def expanded_runs(runs: DataFrame, by: Sequence[str]) -> DataFrame:
     return runs.select(*by, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("copies") - 1)).alias("position"), "value")
 
 
+def read_slot(runs: DataFrame, slot: int) -> DataFrame:
+    """The value at a position of each page, found in its runs without expanding them."""
+    return runs.where(F.lit(slot).between(F.col("start"), F.col("start") + F.col("copies") - 1)).drop("run", "start", "copies").withColumn("slot", F.lit(slot))
+
+
 def frame_of_reference(df: DataFrame, by: Sequence[str], order: str, value: str, largest: int) -> DataFrame:
     """df with base (the page's first value), delta, and whether the delta is an exception (negative or too large)."""
     base = F.first(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
@@ -42,7 +48,7 @@ def frame_of_reference(df: DataFrame, by: Sequence[str], order: str, value: str,
 
 def pages(df: DataFrame, order: str, rows: int) -> DataFrame:
     """df with ``page``: so many consecutive values of a dense order column each."""
-    return df.withColumn("page", F.floor(F.col(order) / rows))
+    return df.withColumn("page", floor_div(F.col(order), rows))
 
 
 def coverage(intervals: DataFrame, start: str = "start", stop: str = "stop", weight: str | None = None, quantum: int = 1) -> DataFrame:
@@ -52,7 +58,7 @@ def coverage(intervals: DataFrame, start: str = "start", stop: str = "stop", wei
     cancel out are no transitions. The running sum works range by range (see ordering.py).
     """
     w = F.col(weight) if weight else F.lit(1)
-    ends = F.array(F.struct((F.floor(F.col(start) / quantum) * quantum).alias("position"), w.alias("delta")), F.struct((F.ceil(F.col(stop) / quantum) * quantum).alias("position"), (-w).alias("delta")))
+    ends = F.array(F.struct(rounded_down(F.col(start), quantum).alias("position"), w.alias("delta")), F.struct(rounded_up(F.col(stop), quantum).alias("position"), (-w).alias("delta")))
     changes = intervals.select(F.inline(ends)).groupBy("position").agg(F.sum("delta").alias("delta")).where("delta <> 0")
     return running_sum(changes, "position", "delta", "_after").select("position", "delta", (F.col("_after") - F.col("delta")).alias("pins"))
 

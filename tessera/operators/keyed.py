@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def lookup(df: DataFrame, key: str, value) -> DataFrame:
@@ -58,6 +58,50 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value:
     return both.withColumn(out, F.last("_value", ignorenulls=True).over(w)).where("_side = 1").select(*left.columns, out)
 
 
+def page_in_order(df: DataFrame, order: Sequence[str], after: Sequence | None = None, rows: int = 100) -> DataFrame:
+    """The next ``rows`` rows in order of these columns behind the given place (its values; none: from the start).
+
+    Only rows of the page leave a task; to go on, give the last row's values. Null values come first.
+    """
+    if after is not None:
+        past = F.lit(False)
+        for c, v in reversed(list(zip(order, after, strict=True))):
+            at = F.lit(v).cast(df.schema[c].dataType)
+            past = (F.col(c) > at if v is not None else F.col(c).isNotNull()) | F.col(c).eqNullSafe(at) & past
+        df = df.filter(past)
+    return df.orderBy(*[F.col(c).asc_nulls_first() for c in order]).limit(rows)
+
+
+def in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """All rows in order: dealt out by ranges of the columns and sorted in each."""
+    return df.orderBy(*[F.col(c).asc_nulls_first() for c in order])
+
+
+def sorted_keys(df: DataFrame, key: str) -> DataFrame:
+    """The distinct keys in order."""
+    return df.select(key).distinct().orderBy(key)
+
+
+def tail_columns(df: DataFrame, start: int) -> DataFrame:
+    """The columns from a position on."""
+    return df.select(*df.columns[start:])
+
+
+def positional_length(table: DataFrame, position: str) -> DataFrame:
+    """The length of a positional table: one more than its last position."""
+    return table.agg(F.coalesce(F.max(position) + 1, F.lit(0)).cast("long").alias("length"))
+
+
+def truncated(table: DataFrame, position: str, length: int) -> DataFrame:
+    """A positional table cut to a length."""
+    return table.filter(F.col(position) < length)
+
+
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Rows told in the program as a table; they become part of the plan."""
+    return spark.createDataFrame(list(rows), schema)
+
+
 def prefix_scan(df: DataFrame, key: str, prefix: str, where: Column | None = None, limit: int | None = None) -> DataFrame:
     """Rows whose key starts with the prefix and that pass the predicate; ``limit`` stops early."""
     found = df.filter(F.col(key).startswith(prefix))
@@ -65,24 +109,46 @@ def prefix_scan(df: DataFrame, key: str, prefix: str, where: Column | None = Non
     return found if limit is None else found.limit(limit)
 
 
-def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of ``changes`` replace those with their key and are added otherwise; keys of changes must be distinct."""
-    return table.join(changes.select(key), key, "left_anti").select(*table.columns).unionByName(changes.select(*table.columns))
+def one_per_key(rows: DataFrame, key: str, newest: str | None = None) -> DataFrame:
+    """One row of each key: the one with the largest ``newest``, or else the largest in all columns."""
+    by = F.struct(*([newest] if newest else []), *[c for c in rows.columns if c not in (key, newest)])
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), by).alias("_row")).select("_row.*")
+
+
+def without_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among ``keys``; null is a key like any other."""
+    told = keys.select(F.col(key).alias("_key"))
+    return table.join(told, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+
+
+def upsert(table: DataFrame, changes: DataFrame, key: str, newest: str | None = None) -> DataFrame:
+    """Rows of ``changes`` replace those with their key and are added otherwise; of several with a key one is taken, see one_per_key().
+
+    Null is a key like any other.
+    """
+    rows = one_per_key(changes, key, newest).select(*table.columns)
+    return without_keys(table, rows, key).unionByName(rows)
 
 
 def upsert_told(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """changes with ``replaced``: whether the key was there."""
     there = table.select(F.col(key).alias("_key")).distinct().withColumn("_there", F.lit(True))
-    return changes.join(there, F.col(key) == F.col("_key"), "left").withColumn("replaced", F.coalesce("_there", F.lit(False))).drop("_key", "_there")
+    return changes.join(there, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("replaced", F.coalesce("_there", F.lit(False))).drop("_key", "_there")
 
 
-def insert_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Adds rows whose key is not there yet."""
-    return table.unionByName(rows.join(table.select(key), key, "left_anti").select(*table.columns))
+def insert_absent(table: DataFrame, rows: DataFrame, key: str, newest: str | None = None) -> DataFrame:
+    """Adds rows whose key is not there yet; of several with a key one, as for upsert()."""
+    return table.unionByName(without_keys(one_per_key(rows, key, newest), table, key).select(*table.columns))
 
 
 def delete_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return table.join(keys.select(key), key, "left_anti").select(*table.columns)
+    return without_keys(table, keys, key)
+
+
+def remove_first(table: DataFrame, keys: DataFrame, key: str, order: str) -> DataFrame:
+    """Of the rows with each of these keys, the first in order goes; copies of the key after it stay."""
+    firsts = table.join(keys.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.min(order).alias("_first")).withColumnRenamed(key, "_key")
+    return table.join(firsts, F.col(key).eqNullSafe(F.col("_key")) & (F.col(order) == F.col("_first")), "left_anti")
 
 
 def delete_matching(table: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ..functions.scalar import log2_floor
+from ..functions.scalar import floor_div, log2_floor
 
 NO_MIN = (1 << 63) - 1
 
@@ -29,47 +32,94 @@ def multiset_min(changes: DataFrame, by: Sequence[str], value: str, weight: str)
 
 
 def running_min(changes: DataFrame, by: Sequence[str], order: str, value: str, weight: str) -> DataFrame:
-    """changes with the least value after each of them.
+    """changes with the least value after each of them (and after all others of the same place in the order).
 
-    A value's presence is a set of spans between its changes; a span that begins with a value present
-    is a candidate for the changes inside it. Work is per group, so groups should be bounded (pages, keys).
+    One scan of each group in order, with a heap of the values seen and their net counts; equal changes stay apart. A group
+    must fit a task's memory, so groups should be bounded (pages, keys).
     """
-    w = Window.partitionBy(*by, value).orderBy(order)
-    spans = changes.select(*by, F.col(value).alias("_v"), F.sum(weight).over(w).alias("_n"), F.col(order).alias("_from"), F.lead(order).over(w).alias("_to")).where("_n > 0").drop("_n")
-    keyed = [F.col(f"c.{b}").eqNullSafe(F.col(f"s.{b}")) for b in by]
-    inside = (F.col("_from") <= F.col(f"c.{order}")) & (F.col("_to").isNull() | (F.col("_to") > F.col(f"c.{order}")))
-    on = inside
-    for k in keyed:
-        on = on & k
-    met = changes.alias("c").join(spans.alias("s"), on, "left")
-    return met.groupBy(*[F.col(f"c.{c}") for c in changes.columns]).agg(F.min("_v").alias("min"))
+    schema = StructType([*changes.schema, StructField("min", changes.schema[value].dataType)])
+
+    def scan(group: pa.Table) -> pa.Table:
+        group = group.sort_by(order)
+        places, values, weights = (group.column(c).to_pylist() for c in (order, value, weight))
+        net: dict = {}
+        heap, out, at = [], [], 0
+        while at < len(places):
+            end = at
+            while end < len(places) and places[end] == places[at]:
+                v = values[end]
+                if v is not None:
+                    was = net.get(v, 0)
+                    net[v] = was + weights[end]
+                    if was <= 0 < net[v]:  # a value is pushed each time that it appears
+                        heapq.heappush(heap, v)
+                end += 1
+            while heap and net[heap[0]] <= 0:
+                heapq.heappop(heap)
+            out += [heap[0] if heap else None] * (end - at)
+            at = end
+        return group.append_column("min", pa.array(out, group.schema.field(value).type))
+
+    return changes.groupBy(*by).applyInArrow(scan, schema)
+
+
+#: Items are hashed twice; the k-th position is the first hash and k times the second. Other pairs may be given.
+Hashes = Callable[[Column], tuple[Column, Column]]
+
+
+def by_xxhash(item: Column) -> tuple[Column, Column]:
+    return F.xxhash64(item), F.xxhash64(item, F.lit(1))
+
+
+def by_md5(item: Column) -> tuple[Column, Column]:
+    """Slower, and the same in any engine."""
+    digest = F.md5(item.cast("string").cast("binary"))
+    return tuple(F.conv(F.substring(digest, k, 8), 16, 10).cast("long") for k in (1, 9))
 
 
 def bloom_size(items: int, false_positives: float) -> tuple[int, int]:
-    """Bits and hashes for so many items."""
+    """Bits and hashes for so many items (fixed value: the logarithm's argument)."""
     bits = math.ceil(items * math.log(false_positives) / math.log(0.6185))
     return bits, max(1, math.floor(math.log(2) * bits / items))
 
 
-def bloom_positions(item: Column, bits: int, hashes: int) -> Column:
+def bloom_positions(item: Column, bits: int, hashes: int, pair: Hashes = by_xxhash) -> Column:
     """The item's bit positions by double hashing."""
-    a, b = F.pmod(F.xxhash64(item), F.lit(bits)), F.pmod(F.xxhash64(item, F.lit(1)), F.lit(bits))
+    a, b = (F.pmod(h, F.lit(bits)) for h in pair(item))
     return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda k: F.pmod(a + k * b, F.lit(bits)))
 
 
-def bloom_filter(df: DataFrame, item: str, bits: int, hashes: int) -> DataFrame:
+def bloom_filter(df: DataFrame, item: str, bits: int, hashes: int, pair: Hashes = by_xxhash) -> DataFrame:
     """(word, mask): the filter as words of 32 bits; bits / 32 rows at most, merged before the shuffle."""
-    set_bits = df.select(F.explode(bloom_positions(F.col(item), bits, hashes)).alias("_p"))
-    return set_bits.select(F.floor(F.col("_p") / 32).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_p", F.lit(32)).cast("int")).alias("_bit")).groupBy("word").agg(F.bit_or("_bit").alias("mask"))
+    set_bits = df.select(F.explode(bloom_positions(F.col(item), bits, hashes, pair)).alias("_p"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_p", F.lit(32)).cast("int"))
+    return set_bits.select(floor_div(F.col("_p"), 32).alias("word"), bit.alias("_bit")).groupBy("word").agg(F.bit_or("_bit").alias("mask"))
+
 
+def bloom_stats(bloom: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """bits, hashes, how many bits are set, and the share of false positives to expect from that."""
+    filled = bloom.agg(F.coalesce(F.sum(F.bit_count("mask")), F.lit(0)).cast("long").alias("bits_set"))
+    return filled.select(F.lit(bits).cast("long").alias("bits"), F.lit(hashes).alias("hashes"), "bits_set", F.pow(F.col("bits_set") / bits, F.lit(hashes)).alias("false_positives"))
 
-def bloom_maybe(df: DataFrame, item: str, bloom: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """df with ``maybe``: false where the item was surely not inserted. One join on words; no filter is sent around."""
-    spread = df.select(F.col(item).alias("_item")).distinct().withColumn("_p", F.explode(bloom_positions(F.col("_item"), bits, hashes)))
-    met = spread.join(bloom, F.floor(F.col("_p") / 32) == F.col("word"), "left")
+
+def bloom_maybe(df: DataFrame, item: str, bloom: DataFrame, bits: int, hashes: int, pair: Hashes = by_xxhash, most_bytes: int = 64 << 20) -> DataFrame:
+    """df with ``maybe``: false where the item was surely not inserted; null items were not.
+
+    A filter of up to ``most_bytes`` is sent to all tasks as one array, and rows are looked up where they are; a larger one
+    stays a table, and the distinct items' positions meet its words in a join.
+    """
+    words = bits // 32 + 1
+    if 8 * words <= most_bytes:
+        dense = df.sparkSession.range(words).join(bloom, F.col("id") == F.col("word"), "left").select("id", F.coalesce("mask", F.lit(0)).alias("mask"))
+        whole = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "mask"))), lambda x: x["mask"]).alias("_words"))
+        has = lambda p: F.call_function("shiftright", F.get("_words", floor_div(p, 32).cast("int")), F.pmod(p, F.lit(32)).cast("int")).bitwiseAND(1) == 1
+        met = df.withColumn("_item", F.col(item)).crossJoin(F.broadcast(whole))  # one row of most_bytes at most
+        return met.select(*df.columns, F.coalesce(F.forall(bloom_positions(F.col("_item"), bits, hashes, pair), has), F.lit(False)).alias("maybe"))
+    spread = df.select(F.col(item).alias("_item")).distinct().withColumn("_p", F.explode(bloom_positions(F.col("_item"), bits, hashes, pair)))
+    met = spread.join(bloom, floor_div(F.col("_p"), 32) == F.col("word"), "left")
     hit = F.coalesce(F.getbit("mask", F.pmod("_p", F.lit(32)).cast("int")).cast("int"), F.lit(0))
-    found = met.groupBy("_item").agg((F.min(hit) == 1).alias("maybe"))
-    return df.join(found, F.col(item) == F.col("_item"), "left").drop("_item")
+    found = met.groupBy("_item").agg((F.min(hit) == 1).alias("_maybe"))
+    return df.join(found, F.col(item) == F.col("_item"), "left").select(*df.columns, F.coalesce("_maybe", F.lit(False)).alias("maybe"))
 
 
 def log2_histogram(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -81,7 +131,7 @@ def histogram_percentile(histogram: DataFrame, percent: int, by: Sequence[str] =
     """The first bucket that reaches percent of the total (in whole numbers), and its lower bound in millionths."""
     w = Window.partitionBy(*by)  # 64 buckets a group at most
     run = histogram.select(*by, "bucket", F.sum("n").over(w.orderBy("bucket")).alias("_run"), F.sum("n").over(w).alias("_all"))
-    reached = run.where(F.col("_run") >= F.floor(F.col("_all") * percent / 100)).groupBy(*by).agg(F.min("bucket").alias("bucket"))
+    reached = run.where(F.col("_run") >= floor_div(F.col("_all") * percent, 100)).groupBy(*by).agg(F.min("bucket").alias("bucket"))
     return reached.withColumn("value", F.pow(F.lit(2.0), F.col("bucket")) / 1e6)
 
 

@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .keyed import page_in_order
+
 EPOCH = "epoch"
 
 
@@ -126,6 +128,23 @@ def write_encoded(df: DataFrame, path: str, order: Sequence[str], dictionary: Se
     writer.parquet(path)
 
 
+def compression(spark, path: str) -> DataFrame:
+    """rows of a folder, told (their bytes as text), stored (bytes of the files, by the listing), and ratio."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    stored = folder.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    df = spark.read.parquet(path)
+    told = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in df.columns])
+    out = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(told), F.lit(0)).alias("told"))
+    return out.withColumn("stored", F.lit(stored).cast("long")).withColumn("ratio", F.col("told") / F.col("stored"))
+
+
+def log_dump(log: DataFrame, order: str, rows: int = 100, after=None) -> DataFrame:
+    """A page of a log as text, in order: place and entry."""
+    page = page_in_order(log, [order], None if after is None else [after], rows)
+    return page.select(order, F.to_json(F.struct(*[c for c in log.columns if c != order])).alias("entry"))
+
+
 def component_sizes(df: DataFrame) -> DataFrame:
     """Rows and files behind a component's folder."""
     return df.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"))

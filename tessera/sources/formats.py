@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalar import calendar_add, retail_price, tuple_text
 
-#: The columns of an operation stream, in file order.
+#: The columns of an operation stream, in file order.
 OP_COLUMNS = "mode string, order long, partkey int, partprice int, quantity int, totalprice long, week int, day int, year int, src_nation int, cust_nation int, status int"
 
 

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import scalar as S
+from tessera.functions import registry, scalar as S
 from tessera.operators import dataflow, encodings, graph, keyed, ordering, sketches, versioned as V
 from tessera.sources import formats
 from tessera.streaming.ingest import VersionedFolder, ingest, newest_in_stream, stream_folder
@@ -222,3 +222,82 @@ def test_group_functions(spark):
     assert scalar_function("log2_floor") is S.log2_floor
     with pytest.raises(KeyError):
         scalar_function("nothing")
+
+
+def test_changes_keep_one_row_a_key(spark):
+    table = spark.createDataFrame([(1, "a", 0), (2, "b", 0), (None, "n", 0)], "k long, v string, t int")
+    changes = spark.createDataFrame([(2, "old", 1), (2, "new", 2), (3, "x", 1), (3, "x", 1), (None, "null", 1), (None, "other", 2)], "k long, v string, t int")
+    got = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert got(keyed.upsert(table, changes, "k", "t")) == sorted([(1, "a", 0), (2, "new", 2), (3, "x", 1), (None, "other", 2)], key=str)
+    assert got(keyed.upsert(table, changes, "k")) == sorted([(1, "a", 0), (2, "old", 1), (3, "x", 1), (None, "other", 2)], key=str)
+    assert got(keyed.insert_absent(table, changes, "k")) == sorted([*map(tuple, table.collect()), (3, "x", 1)], key=str)
+    assert got(keyed.delete_keys(table, changes, "k")) == [(1, "a", 0)]
+
+
+def test_equal_changes_stay_apart_in_running_min(spark):
+    changes = spark.createDataFrame([("g", 1, 5, 1), ("g", 1, 5, 1), ("g", 2, 5, -1), ("g", 3, 5, -1), ("g", 4, 7, 1), ("g", 5, 5, 1), ("h", 1, None, 1)], "g string, seq int, v int, w int")
+    rows = sorted((r.g, r.seq, r.min) for r in sketches.running_min(changes, ["g"], "seq", "v", "w").collect())
+    assert rows == [("g", 1, 5), ("g", 1, 5), ("g", 2, 5), ("g", 3, None), ("g", 4, 7), ("g", 5, 5), ("h", 1, None)]
+
+
+def test_whole_numbers_stay_exact(spark):
+    big = (1 << 60) + 511
+    df = spark.createDataFrame([(big,), (-big,), (-1,), (0,), (512,)], "x long")
+    x = F.col("x")
+    for r in df.select("x", S.floor_div(x, 512).alias("q"), S.rounded_down(x, 512).alias("down"), S.rounded_up(x, 512).alias("up")).collect():
+        assert (r.q, r.down, r.up) == (r.x // 512, r.x // 512 * 512, -(-r.x // 512) * 512)
+
+
+def test_pages_in_order_go_on_to_the_end(spark):
+    data = [(None, 1), (1, None), (1, 2), (1, 3), (2, 1), (2, 2), (3, 0)]
+    df, after, seen = spark.createDataFrame(data, "a int, b int"), None, []
+    while True:
+        page = [tuple(r) for r in keyed.page_in_order(df, ["a", "b"], after, 3).collect()]
+        seen += page
+        if len(page) < 3:
+            break
+        after = page[-1]
+    assert seen == sorted(data, key=lambda r: tuple((x is not None, x) for x in r))
+
+
+def test_user_functions(spark):
+    registry.register_function("plus_seven", lambda c: c + 7)
+    assert spark.range(1).select(registry.scalar_function("plus_seven")(F.col("id")).alias("x")).first().x == 7
+    for taken in ("plus_seven", "raw_crc"):
+        with pytest.raises(KeyError):
+            registry.register_function(taken, lambda c: c)
+
+
+def test_keyed_operations_only_are_routed_by_key(spark):
+    df = spark.createDataFrame([("insert", 1), ("scan", 2)], "op string, k long").select(dataflow.by_operation_key("op", ("insert",), "k").alias("q"))
+    with pytest.raises(Exception, match="no keyed operation: scan"):
+        df.collect()
+
+
+def test_large_bloom_filters_stay_tables(spark):
+    items, probes = spark.range(0, 2000, 2), spark.range(3000).union(spark.createDataFrame([(None,)], "id long"))
+    bits, hashes = sketches.bloom_size(1000, 0.01)
+    bloom = sketches.bloom_filter(items, "id", bits, hashes)
+    sent, joined = (sorted(map(str, sketches.bloom_maybe(probes, "id", bloom, bits, hashes, most_bytes=n).collect())) for n in (1 << 20, 0))
+    assert sent == joined and len(sent) == 3001
+
+
+def test_components_merge_when_due(spark, tmp_path):
+    from tessera.streaming.ingest import VersionedFolder
+
+    folder = VersionedFolder(spark, str(tmp_path / "t"), ["k", "epoch"])
+    row = lambda lo, hi, epoch: spark.range(lo, hi).selectExpr("id as k", f"{epoch}L as epoch")
+    folder.append(row(0, 20_000, 2), 0)
+    assert not folder.due()
+    folder.append(row(0, 10, 3), 1)
+    assert not folder.maintain(4)
+    for n in range(2, 8):
+        folder.append(row(2500 * n, 2500 * (n + 1), 2 * n), n)
+    before = sorted(map(tuple, folder.read(["k"]).collect()))
+    assert folder.maintain(4) and len(folder.sizes()) == 1
+    assert sorted(map(tuple, folder.read(["k"]).collect())) == before
+    folder.append(row(0, 5, 90), 8)
+    assert folder.read(["k"]).where("epoch = 90").count() == 5
+    folder.append(row(0, 20_000, 100), 9)
+    with pytest.raises(ValueError):
+        folder.maintain(2)
