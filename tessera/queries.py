@@ -310,7 +310,7 @@ def page_floor(spark, sf_dir):
 def page_floor_all(spark, sf_dir):
     """Pages of all orders, each with its first row."""
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
-    pages = orders.groupBy(F.floor(F.col("o_orderkey") / 100)).agg(F.min("o_orderkey").alias("o_orderkey"), F.min_by("o_custkey", "o_orderkey").alias("o_custkey"))
+    pages = orders.groupBy(S.floor_div(F.col("o_orderkey"), 100)).agg(F.min("o_orderkey").alias("o_orderkey"), F.min_by("o_custkey", "o_orderkey").alias("o_custkey"))
     return V.floor_page(pages.select("o_orderkey", "o_custkey"), "o_orderkey", 777)
 
 
@@ -451,12 +451,24 @@ def hist_emd_log(spark, sf_dir):
     return sketches.histogram_distance(*two_histograms(spark, sf_dir), logarithmic=True)
 
 
-@query()
+MD5 = "('0x' || substr(md5({0}::VARCHAR), {1}, 8))::BIGINT"
+BLOOM = f"bulk AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 45), s AS (SELECT ceil(greatest(count(*), 1) * ln(0.01) / ln(0.6185))::BIGINT AS bits, greatest(count(*), 1) AS n FROM bulk), k AS (SELECT bits, greatest(1, floor(ln(2) * bits / n))::BIGINT AS hashes FROM s), f AS (SELECT DISTINCT ({MD5.format('l_partkey', 1)} % bits + i * ({MD5.format('l_partkey', 9)} % bits)) % bits AS p FROM bulk, k, range(hashes) t(i))"
+
+
+@query(f"WITH {BLOOM}, h AS (SELECT p_partkey, ({MD5.format('p_partkey', 1)} % bits + i * ({MD5.format('p_partkey', 9)} % bits)) % bits AS p FROM part, k, range(hashes) t(i)) SELECT p_partkey, bool_and(f.p IS NOT NULL) AS maybe FROM h LEFT JOIN f ON h.p = f.p GROUP BY p_partkey")
 def bloom_membership(spark, sf_dir):
-    """Parts against a filter of those that were ordered in bulk, sized by their number; approximate, without false negatives."""
+    """Parts against a filter of those that were ordered in bulk, sized by their number; approximate, without false negatives. Hashes are told."""
+    bulk = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_partkey").distinct()
+    bits, hashes = sketches.bloom_size(max(1, bulk.count()), 0.01)
+    bloom = sketches.bloom_filter(bulk, "l_partkey", bits, hashes, sketches.by_md5)
+    return sketches.bloom_maybe(table(spark, sf_dir, "part", "p_partkey"), "p_partkey", bloom, bits, hashes, sketches.by_md5)
+
+
+@query(f"WITH {BLOOM} SELECT bits, hashes::INT AS hashes, count(*) AS bits_set, pow(count(*) / bits, hashes) AS false_positives FROM f, k GROUP BY bits, hashes")
+def bloom_stats(spark, sf_dir):
     bulk = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_partkey").distinct()
     bits, hashes = sketches.bloom_size(max(1, bulk.count()), 0.01)
-    return sketches.bloom_maybe(table(spark, sf_dir, "part", "p_partkey"), "p_partkey", sketches.bloom_filter(bulk, "l_partkey", bits, hashes), bits, hashes)
+    return sketches.bloom_stats(sketches.bloom_filter(bulk, "l_partkey", bits, hashes, sketches.by_md5), bits, hashes)
 
 
 # Dataflow and graphs ------------------------------------------------------------------------------------------
@@ -467,7 +479,7 @@ def multiplex_counts(spark, sf_dir):
     return dataflow.queue_counts(table(spark, sf_dir, "events"), "event_id", 16, by_crc=False)
 
 
-@query()
+@query("SELECT queue, count(*) AS n FROM (SELECT list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(event_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda h, b: list_reduce(list_prepend(xor(h, b), range(8)), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))) % 16 AS queue FROM events) GROUP BY queue")
 def multiplex_crc_counts(spark, sf_dir):
     return dataflow.queue_counts(table(spark, sf_dir, "events"), "event_id", 16)
 
