@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +72,7 @@ class Words:
         self.of = np.repeat(np.arange(len(self.docs)), self.counts)
         self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
         numbers = Numbers()
-        of = np.fromiter((n for d in self.docs for n in map(numbers.__getitem__, d)), np.int32, len(self.of))
+        of = np.fromiter(map(numbers.__getitem__, chain.from_iterable(self.docs)), np.int32, len(self.of))
         digests = np.frombuffer(b"".join(numbers.digests), ">u8").reshape(-1, 2).astype(U64)
         self.names, self.check = digests[of, 0], digests[of, 1]
 
