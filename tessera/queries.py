@@ -262,35 +262,24 @@ def version_gc_snapshots(spark, sf_dir):
     return V.garbage_collected(versions(spark, sf_dir), 15000, snapshots=True)
 
 
-@query(f"WITH {COMPONENTS}, p AS (SELECT DISTINCT l_orderkey, l_linenumber, quantity FROM li WHERE l_orderkey % 3 = 0) SELECT l_orderkey, l_linenumber, quantity, min(component) AS component FROM c JOIN p USING (l_orderkey, l_linenumber, quantity) GROUP BY ALL")
+FOUND = f"WITH {COMPONENTS}, p AS (SELECT DISTINCT l_orderkey, l_linenumber, quantity FROM li) SELECT l_orderkey, l_linenumber, quantity, min(component) AS component FROM c JOIN p USING (l_orderkey, l_linenumber, quantity)"
+
+
+@query(f"{FOUND} GROUP BY ALL")
 def lsm_find(spark, sf_dir):
-    parts = components(spark, sf_dir)
-    return V.find(parts, probes(spark, sf_dir))
+    return V.find(components(spark, sf_dir), probes(spark, sf_dir))
 
 
-@query(f"WITH {COMPONENTS}, p AS (SELECT DISTINCT l_orderkey, l_linenumber, quantity FROM li WHERE l_orderkey % 3 = 0) SELECT l_orderkey, l_linenumber, quantity, min(component) AS component FROM c JOIN p USING (l_orderkey, l_linenumber, quantity) WHERE component = 0 GROUP BY ALL")
+@query(f"{FOUND} WHERE component = 0 GROUP BY ALL")
 def lsm_find_c0(spark, sf_dir):
     return V.find(components(spark, sf_dir)[:1], probes(spark, sf_dir))
 
 
 def probes(spark, sf_dir):
-    return all_probes(spark, sf_dir).where("l_orderkey % 3 = 0")
-
-
-def all_probes(spark, sf_dir):
+    """All line items as they were before any component changed them."""
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("quantity"))
 
 
-@query(SQL["lsm_find"].replace(" WHERE l_orderkey % 3 = 0", ""))
-def lsm_find_all(spark, sf_dir):
-    return V.find(components(spark, sf_dir), all_probes(spark, sf_dir))
-
-
-@query(SQL["lsm_find_c0"].replace(" WHERE l_orderkey % 3 = 0", ""))
-def lsm_find_c0_all(spark, sf_dir):
-    return V.find(components(spark, sf_dir)[:1], all_probes(spark, sf_dir))
-
-
 @query(f"WITH {COMPONENTS} SELECT DISTINCT l_orderkey, l_linenumber, quantity FROM c WHERE (l_orderkey, l_linenumber, quantity) >= (500, 3, 10)")
 def lsm_gte(spark, sf_dir):
     return V.find_from(components(spark, sf_dir), ["l_orderkey", "l_linenumber", "quantity"], [500, 3, 10])
@@ -301,13 +290,8 @@ def lsm_count(spark, sf_dir):
     return V.count_merged(components(spark, sf_dir))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 100 = 0 AND o_orderkey = (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 100 = 0 AND o_orderkey <= 777)")
-def page_floor(spark, sf_dir):
-    return V.floor_page(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").where("o_orderkey % 100 = 0"), "o_orderkey", 777)
-
-
 @query("WITH p AS (SELECT min(o_orderkey) AS o_orderkey, arg_min(o_custkey, o_orderkey) AS o_custkey FROM orders GROUP BY o_orderkey // 100) SELECT * FROM p WHERE o_orderkey = (SELECT max(o_orderkey) FROM p WHERE o_orderkey <= 777)")
-def page_floor_all(spark, sf_dir):
+def page_floor(spark, sf_dir):
     """Pages of all orders, each with its first row."""
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     pages = orders.groupBy(S.floor_div(F.col("o_orderkey"), 100)).agg(F.min("o_orderkey").alias("o_orderkey"), F.min_by("o_custkey", "o_orderkey").alias("o_custkey"))
@@ -494,52 +478,28 @@ def prev_lsn(spark, sf_dir):
     return dataflow.previous_in_transaction(table(spark, sf_dir, "events").select(F.col("event_id").alias("lsn"), F.col("user_id").alias("xid")), "xid", "lsn")
 
 
-def order_edges(spark, sf_dir):
-    """Customers, linked by their orders' numbers."""
-    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 4096).alias("src"), ((F.col("o_custkey") * 31 + F.col("o_orderkey") * 7) % 4096).alias("dst"))
-
-
-EDGES = "e AS (SELECT o_custkey % 4096 AS src, (o_custkey * 31 + o_orderkey * 7) % 4096 AS dst FROM orders)"
-HOPS = f"WITH RECURSIVE {EDGES}, r AS (SELECT 5::BIGINT AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM r JOIN e ON node = src WHERE hop < 6), v AS (SELECT node, min(hop) AS hop FROM r GROUP BY node)"
-
-
-@query(f"WITH RECURSIVE {EDGES}, r AS (SELECT 5::BIGINT AS node UNION SELECT dst FROM r JOIN e ON node = src) SELECT node FROM r")
-def reachability(spark, sf_dir):
-    return graph.reachable(order_edges(spark, sf_dir), source(spark)).select("node")
-
-
-@query(f"{HOPS} SELECT hop, count(*) AS n FROM v GROUP BY hop")
-def hop_counts(spark, sf_dir):
-    return graph.hop_counts(order_edges(spark, sf_dir), source(spark), 6)
-
-
-@query(f"WITH RECURSIVE {EDGES}, r AS (SELECT 5::BIGINT AS node UNION SELECT dst FROM r JOIN e ON node = src), f AS (SELECT count(*) AS followed FROM e WHERE src IN (SELECT node FROM r)) SELECT count(*) AS visited, any_value(followed) AS followed, any_value(followed) - count(*) + 1 AS skipped FROM r, f")
-def traversal_counters(spark, sf_dir):
-    edges = order_edges(spark, sf_dir)
-    return graph.traversal_counters(edges, graph.reachable(edges, source(spark)))
-
-
 def customer_edges(spark, sf_dir):
-    """The same links with a node for each customer, whatever their number."""
+    """Customers, linked by their orders' numbers; a node for each customer."""
     customers = table(spark, sf_dir, "customer").agg((F.max("c_custkey") + 1).alias("n"))
     return table(spark, sf_dir, "orders").crossJoin(F.broadcast(customers)).select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 31 + F.col("o_orderkey") * 7) % F.col("n")).alias("dst"))
 
 
 CUSTOMER_EDGES = "e AS (SELECT o_custkey AS src, (o_custkey * 31 + o_orderkey * 7) % (SELECT max(c_custkey) + 1 FROM customer) AS dst FROM orders)"
+HOPS = f"WITH RECURSIVE {CUSTOMER_EDGES}, r AS (SELECT 5::BIGINT AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM r JOIN e ON node = src WHERE hop < 6), v AS (SELECT node, min(hop) AS hop FROM r GROUP BY node)"
 
 
-@query(SQL["reachability"].replace(EDGES, CUSTOMER_EDGES))
-def reachability_customers(spark, sf_dir):
+@query(f"WITH RECURSIVE {CUSTOMER_EDGES}, r AS (SELECT 5::BIGINT AS node UNION SELECT dst FROM r JOIN e ON node = src) SELECT node FROM r")
+def reachability(spark, sf_dir):
     return graph.reachable(customer_edges(spark, sf_dir), source(spark)).select("node")
 
 
-@query(SQL["hop_counts"].replace(EDGES, CUSTOMER_EDGES))
-def hop_counts_customers(spark, sf_dir):
+@query(f"{HOPS} SELECT hop, count(*) AS n FROM v GROUP BY hop")
+def hop_counts(spark, sf_dir):
     return graph.hop_counts(customer_edges(spark, sf_dir), source(spark), 6)
 
 
-@query(SQL["traversal_counters"].replace(EDGES, CUSTOMER_EDGES))
-def traversal_counters_customers(spark, sf_dir):
+@query(f"WITH RECURSIVE {CUSTOMER_EDGES}, r AS (SELECT 5::BIGINT AS node UNION SELECT dst FROM r JOIN e ON node = src), f AS (SELECT count(*) AS followed FROM e WHERE src IN (SELECT node FROM r)) SELECT count(*) AS visited, any_value(followed) AS followed, any_value(followed) - count(*) + 1 AS skipped FROM r, f")
+def traversal_counters(spark, sf_dir):
     edges = customer_edges(spark, sf_dir)
     return graph.traversal_counters(edges, graph.reachable(edges, source(spark)))
 

@@ -42,7 +42,7 @@ def test_query_equals_sql(spark, sf_dir, oracle, name):
     assert sorted(tuple(plain(r[c]) for c in order) for r in rows) == want
 
 
-def test_traversals_span_all_customers(spark, tmp_path):
+def test_traversals_span_all(spark, tmp_path):
     n = 6000
     draw = random.Random(3)
     orders = [(k, draw.randrange(n)) for k in range(4 * n)]
@@ -57,9 +57,9 @@ def test_traversals_span_all_customers(spark, tmp_path):
     followed = sum(s in hop for s, _ in edges)
     assert len(hop) > 4096
     run = lambda name: [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
-    assert sorted(run("reachability_customers")) == sorted((k,) for k in hop)
-    assert dict(run("hop_counts_customers")) == {h: n for h, n in Counter(hop.values()).items() if h <= 6}
-    assert run("traversal_counters_customers") == [(len(hop), followed, followed - len(hop) + 1)]
+    assert sorted(run("reachability")) == sorted((k,) for k in hop)
+    assert dict(run("hop_counts")) == {h: n for h, n in Counter(hop.values()).items() if h <= 6}
+    assert run("traversal_counters") == [(len(hop), followed, followed - len(hop) + 1)]
 
 
 def test_bloom_membership_keeps_its_rate_for_many_parts(spark, tmp_path):
@@ -73,11 +73,11 @@ def test_bloom_membership_keeps_its_rate_for_many_parts(spark, tmp_path):
 
 def test_page_floor_takes_all_orders(spark, tmp_path):
     spark.createDataFrame([(601, 1), (703, 2), (704, 3), (790, 4)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    assert [tuple(r) for r in entry.queries()["page_floor_all"](spark, str(tmp_path)).collect()] == [(703, 2)]
+    assert [tuple(r) for r in entry.queries()["page_floor"](spark, str(tmp_path)).collect()] == [(703, 2)]
 
 
 def test_find_probes_all_line_items(spark, sf_dir):
-    found = {r.l_orderkey % 3 for r in entry.queries()["lsm_find_all"](spark, sf_dir).select("l_orderkey").distinct().collect()}
+    found = {r.l_orderkey % 3 for r in entry.queries()["lsm_find"](spark, sf_dir).select("l_orderkey").distinct().collect()}
     assert found == {0, 1, 2}
 
 
