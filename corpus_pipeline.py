@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import documents, removed, written
+from tessera.llm.common import documents, removed, spread, written
 from tessera.llm.stages import language_stage, line_stage, near_dedup_stage, packing_stage, substring_stage
 
 STAGES = [
@@ -21,7 +21,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of documents; what a stage returns is written once, read by the next one, and deleted after that."""
-    docs, before = documents(spark, sf_dir), None
+    docs, before = spread(documents(spark, sf_dir)), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
         if before is not None:
