@@ -34,6 +34,12 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read from files, dealt to all cores where its scan has fewer partitions; for work that costs more than a shuffle of its rows."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def utf8(column: str | Column) -> Column:
     """The text's UTF-8 bytes; null stays null."""
     return (F.col(column) if isinstance(column, str) else column).cast("binary")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents
+from .common import documents, spread
 from .cover_tree import dedup_embeddings
-from .language import identify
+from .language import fit, identify
 from .lexicon import code
 from .lines import LINES_SQL, dedup_lines
 from .packing import pack
@@ -31,7 +31,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
+    return pack(spread(documents(spark, sf_dir, "doc_id", "text")), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,19 +40,20 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules(spread(documents(spark, sf_dir, "doc_id", "text"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+    return code(spread(documents(spark, sf_dir, "doc_id", "text")), tokenizer_file("word_bpe_49k.json"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    return identify(spread(docs), model=fit(docs))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_simhash(documents(spark, sf_dir))
+    return dedup_simhash(spread(documents(spark, sf_dir, "doc_id", "text")))
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
