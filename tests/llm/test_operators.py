@@ -315,6 +315,31 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_chains_hubs_and_random_graphs(spark, monkeypatch):
+    from tessera.llm import components
+
+    rounds = []
+    monkeypatch.setattr(components, "large_stars", lambda e, plain=components.large_stars: rounds.append(1) or plain(e))
+    draw = np.random.default_rng(8)
+    names = draw.permutation(900)
+    chain = [(int(names[k]), int(names[k + 1])) for k in range(399)]
+    hub = [(int(names[500]), int(x)) for x in names[501:600]]
+    loose = [(int(x), int(y)) for x, y in draw.choice(names[600:], (150, 2))]
+    up = {int(n): int(n) for n in names}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, y in chain + hub + loose:
+        x, y = root(x), root(y)
+        up[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(chain + hub + loose, "a long, b long")).collect()}
+    assert got == {n: root(n) for e in chain + hub + loose for n in e if any(n in f and f[0] != f[1] for f in chain + hub + loose)}
+    assert len(rounds) < 12
+
+
 def doubled(levels):
     """Two texts of 2^levels letters, each the other's complement; sums of powers modulo 2^64 cannot tell them apart."""
     a, b = "a", "b"
@@ -403,3 +428,15 @@ def test_sharding_moves_less_than_twice_the_ideal(spark):
     place = lambda n: {r.doc_id: r.shard for r in sharding.shard_documents(ids, n).collect()}
     a, b = place(8), place(9)
     assert sum(a[k] != b[k] for k in a) < 2 * len(a) / 9
+
+
+def test_byte_dedup_as_plain_doubling(spark):
+    from .plain_doubling import DOC, repeated_positions
+
+    data = [(r[0], r[1]) for r in rows(n=12) if r[1]]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    found = defaultdict(set)
+    for r in repeated_positions(docs, 40, lambda df, _: df.checkpoint()).collect():
+        found[r.pos // DOC].update(range(r.pos % DOC, r.pos % DOC + 40))
+    got = {r.doc_id: r.n_removed for r in suffix.dedup_bytes(docs, 40, 3000).collect()}
+    assert got == {i: len(found[i]) for i, _ in data} and sum(got.values()) > 500
