@@ -35,11 +35,6 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 #: Runs of a rule on the sample, seconds below which costs are alike, and the factor between steps of cost.
 RUNS, FLOOR, STEP = 3, 0.01, 4
 
-#: How often the most frequent word occurs.
-TOP_WORD = (
-    rf"aggregate(array_sort(filter(split(_text, r'{GAP}'), w -> w <> '')), named_struct('word', '', 'n', 0, 'most', 0), "
-    "(s, w) -> named_struct('word', w, 'n', if(s.word = w, s.n + 1, 1), 'most', greatest(s.most, if(s.word = w, s.n + 1, 1))), s -> s.most)"
-)
 #: Rules besides the base. All are in whole numbers.
 RULES = {
     "word_length": "word_chars < 2 * n_words or word_chars > 15 * n_words",
@@ -49,7 +44,7 @@ RULES = {
     "lettered_words": r"2 * regexp_count(_text, r'\p{L}[^ \t-\r]*') < n_words",
     "bullets": r"10 * regexp_count(_text, r'(?md)^[ \t]*[-*\u2022] ') > 9 * n_lines",
     "ellipses": r"10 * regexp_count(_text, r'(?md)(\.\.\.|\u2026)[ \t]*$') > 3 * n_lines",
-    "top_word": f"100 * {TOP_WORD} > 30 * n_words",
+    "few_words": f"size(array_distinct(array_remove(split(_text, r'{GAP}'), ''))) < 15",
 }
 
 
@@ -140,12 +135,12 @@ m AS (
     len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
   FROM split s LEFT JOIN covered c ON s.doc_id = c.doc_id),
 b AS (
-  SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(list_max(map_values(list_aggregate(ws, 'histogram'))), 0) AS top
+  SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, len(list_distinct(ws)) AS n_distinct
   FROM m JOIN split s ON m.doc_id = s.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words
     OR 100 * n_dup_lines > 40 * n_lines OR 2 * length(regexp_replace(text, '[^\p{L}]+', '', 'g')) < word_chars
     OR 2 * len(regexp_extract_all(text, '\p{L}[^ \t-\r]*')) < n_words OR 10 * len(regexp_extract_all(text, '(?m)^[ \t]*[-*\x{2022}] ')) > 9 * n_lines
-    OR 10 * len(regexp_extract_all(text, '(?m)(\.\.\.|\x{2026})[ \t]*$')) > 3 * n_lines OR 100 * top > 30 * n_words) AS kept
+    OR 10 * len(regexp_extract_all(text, '(?m)(\.\.\.|\x{2026})[ \t]*$')) > 3 * n_lines OR n_distinct < 15) AS kept
 FROM b
 """
