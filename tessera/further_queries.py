@@ -49,6 +49,18 @@ def script_abort(spark, sf_dir):
     return engine.query("customer")
 
 
+@query("SELECT * FROM (VALUES ('with \"quotes\", and commas', 1), ('plain', 2)) t(_0, _1)")
+def program_changes(spark, sf_dir):
+    """Rows told by a program."""
+    engine = Engine(spark)
+    engine.run("create t (string,int)")
+    engine.insert("t", 'with "quotes", and commas', 1)
+    engine.insert("t", "gone", 0)
+    engine.insert("t", "plain", 2)
+    engine.delete("t", "gone")
+    return engine.query("t")
+
+
 # Ordered reads, positions, lists ---------------------------------------------------------------------------
 
 
@@ -444,6 +456,13 @@ def object_graph(spark, sf_dir):
     return graph.persisted(nations.unionByName(regions), "id", ["region", "others"], roots).select("id")
 
 
+@query("SELECT 5000::BIGINT AS rows, true AS inside, true AS even")
+def random_numbers(spark, sf_dir):
+    made = formats.random_numbers(spark, 5000, 10, seed=3)
+    each = made.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
+    return each.agg(F.sum("c").alias("rows"), F.every(F.col("n").between(0, 9)).alias("inside"), (F.every(F.col("c").between(350, 650)) & (F.count(F.lit(1)) == 10)).alias("even"))
+
+
 @query("SELECT 1000::BIGINT AS orders, 1000::BIGINT AS added, true AS ends_follow")
 def generated_ops(spark, sf_dir):
     """A generated stream of operations: every order is added once, and ends later."""

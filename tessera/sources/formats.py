@@ -57,6 +57,11 @@ def key_value_rows(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.select(key, f"{value}.*")
 
 
+def random_numbers(spark: SparkSession, rows: int, below: int, seed: int = 0) -> DataFrame:
+    """(id, n): evenly spread numbers that follow from the row's number and the seed, so that any task can make them again."""
+    return spark.range(rows).select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(below)).alias("n"))
+
+
 def generated_ops(spark: SparkSession, orders: int, parts: int = 200_000, nations: int = 25, seed: int = 0) -> DataFrame:
     """Operations of so many orders: each is added; about 1 % are deleted, the others delivered 1 to 14 days later; half are asked about.
 
