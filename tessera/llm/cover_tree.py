@@ -335,3 +335,17 @@ def dedup_embeddings(rows: DataFrame, cosine: float = COSINE, cell_rows: int = C
     result = met.select("vec_id", F.col("_links").cast("long").alias("n_links"), F.col("_root").alias("component_id"), (F.col("vec_id") == F.col("_root")).alias("kept"))
     alone = judged.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     return result.unionByName(alone)
+
+
+#: The same in SQL, pair by pair.
+EMBEDDINGS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding::DOUBLE[], lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding::DOUBLE[], lambda c: c <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, root AS component_id, vec_id = root AS kept
+FROM embeddings e JOIN c ON e.vec_id = c.node LEFT JOIN n ON n.a = e.vec_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents, spread
-from .cover_tree import dedup_embeddings
+from .cover_tree import EMBEDDINGS_SQL, dedup_embeddings
 from .language import fit, identify
 from .lexicon import code
 from .lines import LINES_SQL, dedup_lines
@@ -14,7 +14,7 @@ from .quality import QUALITY_SQL, quality_rules
 from .sharding import shard_documents
 from .simhash import dedup_simhash
 from .stages import tokenizer_file
-from .substring import dedup_substrings
+from .substring import SUBSTRINGS_SQL, dedup_substrings
 from .suffix import dedup_bytes
 
 
@@ -61,4 +61,4 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_suffix_dedup, op4_packing, op5_line_dedup, op6_quality_rules, op7_bpe, op8_language_id, op9_simhash_near_dedup, op10_embedding_near_dedup)}
-ORACLE_SQL = {"op5_line_dedup": LINES_SQL, "op6_quality_rules": QUALITY_SQL}
+ORACLE_SQL = {"op2_substring_dedup": SUBSTRINGS_SQL, "op5_line_dedup": LINES_SQL, "op6_quality_rules": QUALITY_SQL, "op10_embedding_near_dedup": EMBEDDINGS_SQL}

@@ -168,6 +168,18 @@ def test_embedding_dedup(spark, cell_rows, cosine):
     assert cover_tree.dedup_embeddings(df.limit(0)).count() == 0
 
 
+def test_embedding_sql_on_vectors_with_links(spark):
+    import duckdb
+
+    data = [r for r in vectors() if r[0] is not None]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INTEGER)")
+    c.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", [list(r) for r in data])
+    want = c.execute(cover_tree.EMBEDDINGS_SQL).fetchall()
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+    assert Counter(tuple(r) for r in cover_tree.dedup_embeddings(df).collect()) == Counter(want) and sum(r[1] for r in want) > 100
+
+
 @pytest.mark.parametrize("most_pivots", [1, 3, 500])
 def test_embedding_dedup_splits_cells(spark, most_pivots):
     """Cells of more than cell_rows points, and more cells than a label had once at most."""
