@@ -97,6 +97,19 @@ def sorted_set_scan(spark, sf_dir):
     return keyed.in_order(rows.join(F.broadcast(first), F.col("user_id") == F.col("_u")).select("event_id", "ts", "event_type"), ["ts", "event_id"])
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders WHERE o_orderkey < 100)")
+def comparator_lookup(spark, sf_dir):
+    """The next key behind 100 where the order of keys is turned round."""
+    return keyed.ordered_lookup(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), "o_orderkey", "next", 100, lambda k: -k)
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey % 100, c_custkey LIMIT 25")
+def comparator_order(spark, sf_dir):
+    """The first rows where keys sort by their last two digits, then as a whole."""
+    rows = table(spark, sf_dir, "customer", "c_custkey", "c_name")
+    return keyed.in_order(rows, ["c_custkey"], lambda k: F.struct(F.pmod(k, F.lit(100)), k)).limit(25)
+
+
 @query("SELECT max(o_orderkey) + 1 AS length FROM orders")
 def positional_length(spark, sf_dir):
     return keyed.positional_length(table(spark, sf_dir, "orders"), "o_orderkey")

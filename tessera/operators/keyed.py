@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -23,20 +23,28 @@ def matching(df: DataFrame, **values) -> DataFrame:
     return df.filter(reduce(and_, [F.col(c) == F.lit(v) for c, v in values.items()], F.lit(True)))
 
 
-def ordered_lookup(df: DataFrame, key: str, mode: str, value=None) -> DataFrame:
+#: A comparator is a function from a key to what it sorts by, in Spark's own functions; several parts make a struct.
+Comparator = Callable[[Column], Column]
+
+
+def plainly(key: Column) -> Column:
+    return key
+
+
+def ordered_lookup(df: DataFrame, key: str, mode: str, value=None, compare: Comparator = plainly) -> DataFrame:
     """At most one row by its place in key order.
 
     Modes: equal, gteq, lteq, greater, less (nearest to ``value``; next and prev are other names of the
-    last two), first, last. One aggregation with partial minima; nothing is sorted.
+    last two), first, last. One aggregation with partial minima; nothing is sorted. ``compare`` sets the order.
     """
-    k = F.col(key)
+    k, value = compare(F.col(key)), compare(F.lit(value))
     tests = {"equal": lambda: k == value, "gteq": lambda: k >= value, "lteq": lambda: k <= value, "greater": lambda: k > value, "less": lambda: k < value, "first": lambda: F.lit(True), "last": lambda: F.lit(True)}
     mode = {"next": "greater", "prev": "less"}.get(mode, mode)
     if mode not in tests:
         raise ValueError(f"no mode {mode}")
     best = F.max_by if mode in ("lteq", "less", "last") else F.min_by
     row = F.struct(*df.columns)
-    return df.filter(tests[mode]()).agg(best(row, key).alias("_row")).where("_row is not null").select("_row.*")
+    return df.filter(tests[mode]()).agg(best(row, k).alias("_row")).where("_row is not null").select("_row.*")
 
 
 def neighbours(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
@@ -72,9 +80,9 @@ def page_in_order(df: DataFrame, order: Sequence[str], after: Sequence | None =
     return df.orderBy(*[F.col(c).asc_nulls_first() for c in order]).limit(rows)
 
 
-def in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def in_order(df: DataFrame, order: Sequence[str], compare: Comparator = plainly) -> DataFrame:
     """All rows in order: dealt out by ranges of the columns and sorted in each."""
-    return df.orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    return df.orderBy(*[compare(F.col(c)).asc_nulls_first() for c in order])
 
 
 def sorted_keys(df: DataFrame, key: str) -> DataFrame:
