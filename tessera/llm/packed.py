@@ -99,6 +99,50 @@ class Prefixes:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U64))
 
 
+PRIME = (1 << 31) - 1
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """Smaller numbers, equal modulo PRIME: from below 2^62 to below 2^32."""
+    out = x >> U64(31)
+    out += x & U64(PRIME)
+    return out
+
+
+def below_prime(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2^62 modulo PRIME, by shifts."""
+    x = folded(folded(x))
+    x[x == U64(PRIME)] = 0
+    return x
+
+
+class PrimePowers:
+    """Powers of a number and of its inverse modulo PRIME, as far as asked for."""
+
+    def __init__(self, base: int) -> None:
+        self.bases = base, pow(base, -1, PRIME)
+        self.known = [np.ones(1, U64), np.ones(1, U64)]
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.known[0]) < n:
+            for k, base in enumerate(self.bases):
+                have = self.known[k]
+                self.known[k] = np.concatenate([have, below_prime(have * U64(pow(base, len(have), PRIME)))])
+        return self.known[0][:n], self.known[1][:n]
+
+
+class PrimePrefixes:
+    """Names below PRIME of any stretch of a sequence of values below it. Two texts share a name for few bases only, however they are built."""
+
+    def __init__(self, values: np.ndarray, powers: PrimePowers) -> None:
+        up, self.down = powers.upto(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, U64)
+        np.cumsum(folded(values * up[:-1]), out=self.sums[1:])
+
+    def names(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return below_prime(below_prime(self.sums[ends] - self.sums[starts]) * self.down[starts])
+
+
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """``_block``, doc_id as ``_id``, text as ``_text`` and the other columns as one, ``_rest``; and the number of blocks.
 

@@ -14,7 +14,8 @@ start at a position in D (counted from each document's start, modulo 7) inside b
 3. covered words are cut out of the text.
 
 Anchors are a filter only (a false match costs one name more in round 2); round 2 decides. Its names are exact up to
-collisions of 96 bits: 64 and 32, from two halves of each word's XXH3-128 that are joined apart from each other.
+collisions of 96 bits. They come from two names of each word, a sum of powers modulo 2^64 and one modulo a prime: structured words
+can share the first, but not the other. Windows join the words' names by mixing, twice and apart from each other.
 
 Text is shuffled once, by block; all three rounds read that exchange. See packed.py for why hot
 passages and groups of copies stay small.
@@ -30,16 +31,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import flattened
-from .packed import BLOCK_BYTES, CELL, U64, bucket_of, buckets, blocks, cells, chained, gathered, group_starts, in_order, isin_sorted, paired
+from .packed import BLOCK_BYTES, CELL, PRIME, U64, Powers, Prefixes, PrimePowers, PrimePrefixes, bucket_of, buckets, blocks, cells, chained, gathered, group_starts, in_order, isin_sorted, joined, paired, table as values
 
 #: A difference cover and its period.
 COVER, PERIOD = (0, 1, 3), 7
@@ -49,17 +48,9 @@ RESULT = ["n_words", "n_removed", "kept_text", "kept_sha256"]
 WORD = re.compile(rb"[^ \t-\r]+")
 
 
-class Numbers(dict):
-    """Word -> its number in order of appearance; ``digests`` has each word's XXH3-128."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.digests: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.digests)
-        self.digests.append(xxhash.xxh3_128_digest(word))
-        return n
+#: Bytes' values for sums of powers modulo 2^64, and modulo a prime.
+BYTES, POWERS = values(1), Powers(0x5851F42D4C957F2D)
+PRIME_BYTES, PRIME_POWERS = values(2) % U64(PRIME), PrimePowers(0x2545F491)
 
 
 class Words:
@@ -71,10 +62,12 @@ class Words:
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         self.of = np.repeat(np.arange(len(self.docs)), self.counts)
         self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
-        numbers = Numbers()
-        of = np.fromiter(map(numbers.__getitem__, chain.from_iterable(self.docs)), np.int32, len(self.of))
-        digests = np.frombuffer(b"".join(numbers.digests), ">u8").reshape(-1, 2).astype(U64)
-        self.names, self.check = digests[of, 0], digests[of, 1]
+        line = np.frombuffer(b" ".join(b" ".join(d) for d in self.docs if d), np.uint8)
+        gaps = np.flatnonzero(line == 32)
+        starts, ends = (np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(line)]])) if len(line) else (gaps, gaps)
+        names = Prefixes(BYTES[line], POWERS).names(starts, ends)
+        primes = PrimePrefixes(PRIME_BYTES[line], PRIME_POWERS).names(starts, ends)
+        self.names, self.check = joined(names, primes), joined(primes, names)
 
     def fitting(self, length: int) -> np.ndarray:
         """Which words start a window of that length in their document."""
@@ -255,3 +248,19 @@ def substring_rows(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
 
     done = by_block.cogroup(smaller.groupBy("_block")).applyInArrow(remove, schema)
     return paired(done, docs, RESULT)
+
+
+#: The same in SQL: windows are compared as text.
+SUBSTRINGS_SQL = r"""
+WITH parts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS ws FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM parts WHERE len(ws) >= 13),
+named AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 12], ' ')) AS name FROM windows),
+told AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY name) AS least FROM named),
+covered AS (SELECT DISTINCT doc_id, i + k AS i FROM told, range(13) AS t(k) WHERE least < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM parts),
+kept AS (
+  SELECT words.doc_id, count(covered.i) AS n_removed, string_agg(CASE WHEN covered.i IS NULL THEN w END, ' ' ORDER BY words.i) AS text
+  FROM words LEFT JOIN covered ON words.doc_id = covered.doc_id AND words.i = covered.i GROUP BY words.doc_id)
+SELECT p.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM parts p LEFT JOIN kept k ON p.doc_id = k.doc_id
+"""
