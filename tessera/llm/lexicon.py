@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from .characters import agreed, lowered
+from .common import settled
 
 MAX_WORDS = 60_000
 #: Merged words that a worker keeps: those the lexicon lacks.
@@ -272,7 +273,7 @@ def coder(tokenizer_file: str, lexicon_file: str) -> Coder:
 
 
 def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS) -> list[str]:
-    """The most frequent words of all texts; at most ``max_words`` reach the driver."""
+    """The most frequent words of all texts, ``max_words`` at most; no more reach the driver, whatever the number of tasks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,8 +285,14 @@ def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS) -> list[str]:
             short = [w for w in words if len(w) <= LONGEST]
             yield pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array([words[w] for w in short], pa.int64())], names=["word", "n"])
 
-    found = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(max_words).collect()]
+    found = settled(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # By steps of frequency, a 16th of a power of two each: the most frequent steps that fit.
+    step, least, taken = F.floor(F.log2("n") * 16), None, 0
+    for s, n in sorted(map(tuple, found.groupBy(step).count().collect()), reverse=True):  # about 1,000 rows at most
+        if taken + n > max_words:
+            break
+        least, taken = s, taken + n
+    return [] if least is None else [r["word"] for r in found.where(step >= least).select("word").collect()]
 
 
 def ship_lexicon(docs: DataFrame, tokenizer_file: str, **bounds: int) -> str:
