@@ -83,10 +83,19 @@ def bloom_size(items: int, false_positives: float) -> tuple[int, int]:
     return bits, max(1, math.floor(math.log(2) * bits / items))
 
 
+def bloom_pair(item: Column, bits: int, pair: Hashes = by_xxhash) -> tuple[Column, Column]:
+    """What an item's positions follow from: both hashes modulo the bits."""
+    return tuple(F.pmod(h, F.lit(bits)) for h in pair(item))
+
+
+def bloom_places(a: Column, b: Column, bits: int, hashes: int) -> Column:
+    """Bit positions by double hashing."""
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda k: F.pmod(a + k * b, F.lit(bits)))
+
+
 def bloom_positions(item: Column, bits: int, hashes: int, pair: Hashes = by_xxhash) -> Column:
     """The item's bit positions by double hashing."""
-    a, b = (F.pmod(h, F.lit(bits)) for h in pair(item))
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda k: F.pmod(a + k * b, F.lit(bits)))
+    return bloom_places(*bloom_pair(item, bits, pair), bits, hashes)
 
 
 def bloom_filter(df: DataFrame, item: str, bits: int, hashes: int, pair: Hashes = by_xxhash) -> DataFrame:
@@ -105,21 +114,20 @@ def bloom_stats(bloom: DataFrame, bits: int, hashes: int) -> DataFrame:
 def bloom_maybe(df: DataFrame, item: str, bloom: DataFrame, bits: int, hashes: int, pair: Hashes = by_xxhash, most_bytes: int = 64 << 20) -> DataFrame:
     """df with ``maybe``: false where the item was surely not inserted; null items were not.
 
-    A filter of up to ``most_bytes`` is sent to all tasks as one array, and rows are looked up where they are; a larger one
-    stays a table, and the distinct items' positions meet its words in a join.
+    The filter stays a table. Distinct pairs of hashes are looked up, a row a bit position, and only pairs with a bit that is
+    not set go on to df; no row carries more than a word of the filter, so work grows with df and the filter, not with their
+    product. A filter of up to ``most_bytes`` in a hash table (96 bytes a word at most) is sent to all tasks, a larger one is
+    met in a shuffle.
     """
     words = bits // 32 + 1
-    if 8 * words <= most_bytes:
-        dense = df.sparkSession.range(words).join(bloom, F.col("id") == F.col("word"), "left").select("id", F.coalesce("mask", F.lit(0)).alias("mask"))
-        whole = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "mask"))), lambda x: x["mask"]).alias("_words"))
-        has = lambda p: F.call_function("shiftright", F.get("_words", floor_div(p, 32).cast("int")), F.pmod(p, F.lit(32)).cast("int")).bitwiseAND(1) == 1
-        met = df.withColumn("_item", F.col(item)).crossJoin(F.broadcast(whole))  # one row of most_bytes at most
-        return met.select(*df.columns, F.coalesce(F.forall(bloom_positions(F.col("_item"), bits, hashes, pair), has), F.lit(False)).alias("maybe"))
-    spread = df.select(F.col(item).alias("_item")).distinct().withColumn("_p", F.explode(bloom_positions(F.col("_item"), bits, hashes, pair)))
-    met = spread.join(bloom, floor_div(F.col("_p"), 32) == F.col("word"), "left")
-    hit = F.coalesce(F.getbit("mask", F.pmod("_p", F.lit(32)).cast("int")).cast("int"), F.lit(0))
-    found = met.groupBy("_item").agg((F.min(hit) == 1).alias("_maybe"))
-    return df.join(found, F.col(item) == F.col("_item"), "left").select(*df.columns, F.coalesce("_maybe", F.lit(False)).alias("maybe"))
+    told = df.withColumns({name: F.when(F.col(item).isNotNull(), h) for name, h in zip(("_a", "_b"), bloom_pair(F.col(item), bits, pair), strict=True)})
+    hashed = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    places = told.where(hashed).select("_a", "_b").distinct().withColumn("_p", F.explode(bloom_places(F.col("_a"), F.col("_b"), bits, hashes)))
+    is_set = (floor_div(F.col("_p"), 32) == F.col("word")) & (F.getbit("mask", F.pmod("_p", F.lit(32)).cast("int")) == 1)
+    unset = places.join(F.broadcast(bloom) if 96 * words <= most_bytes else bloom, is_set, "left_anti")
+    missed = unset.select(F.col("_a").alias("_missed_a"), F.col("_b").alias("_missed_b")).distinct()
+    met = told.join(missed, (F.col("_a") == F.col("_missed_a")) & (F.col("_b") == F.col("_missed_b")), "left")
+    return met.select(*df.columns, (hashed & F.col("_missed_a").isNull()).alias("maybe"))
 
 
 def log2_histogram(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

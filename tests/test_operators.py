@@ -282,6 +282,20 @@ def test_large_bloom_filters_stay_tables(spark):
     assert sent == joined and len(sent) == 3001
 
 
+def test_bloom_lookups_carry_no_whole_filter(spark):
+    items = spark.createDataFrame([("a",), ("b",), (None,)], "s string")
+    probes = spark.createDataFrame([("a", 1), ("a", 1), ("zz", 2), (None, 3), (None, 3)], "s string, n int")
+    bits, hashes = sketches.bloom_size(1000, 0.01)
+    bloom = sketches.bloom_filter(items, "s", bits, hashes)
+    for most_bytes in (1 << 20, 0):
+        out = sketches.bloom_maybe(probes, "s", bloom, bits, hashes, most_bytes=most_bytes)
+        assert out.columns == ["s", "n", "maybe"]
+        assert sorted(map(tuple, out.collect()), key=str) == sorted([("a", 1, True), ("a", 1, True), ("zz", 2, False), (None, 3, False), (None, 3, False)], key=str)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+        assert ("BroadcastHashJoin" in plan and "LeftAnti, BuildRight" in plan) or most_bytes == 0
+
+
 def test_components_merge_when_due(spark, tmp_path):
     from tessera.streaming.ingest import VersionedFolder
 
