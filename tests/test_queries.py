@@ -71,6 +71,11 @@ def test_bloom_membership_keeps_its_rate_for_many_parts(spark, tmp_path):
     assert found[True] == n and found[False] < 0.02 * n
 
 
+def test_bloom_membership_looks_parts_up_by_word(spark, sf_dir):
+    plan = entry.queries()["bloom_membership"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "collect_list" not in plan and "NestedLoop" not in plan
+
+
 def test_page_floor_takes_all_orders(spark, tmp_path):
     spark.createDataFrame([(601, 1), (703, 2), (704, 3), (790, 4)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     assert [tuple(r) for r in entry.queries()["page_floor"](spark, str(tmp_path)).collect()] == [(703, 2)]
