@@ -312,12 +312,12 @@ def stream_min_retract(spark, sf_dir):
 @query(f"WITH {VERSIONS} SELECT user_id, event_type FROM v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch DESC) = 1 AND epoch % 2 = 0")
 def stream_keyed_changes(spark, sf_dir):
     """A keyed table kept by changes: a user's last event type, or nothing after a tombstone."""
-    path, files = folder(spark), folder(spark)
+    path, files, checkpoint = folder(spark), folder(spark), folder(spark)
     rows = versions(spark, sf_dir)
-    for k, (lo, hi) in enumerate([(0, 3000), (3000, 9000), (9000, 1 << 60)]):  # batches in order, so that later changes come later
-        rows.where((F.col("epoch") >= lo) & (F.col("epoch") < hi)).coalesce(1).write.parquet(f"{files}/part={k}")
-    changes = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{files}/part=*")
-    I.apply_changes(changes.withColumn("gone", V.is_tombstone()), path, "user_id", "epoch", "gone", folder(spark)).awaitTermination()
+    for k, (lo, hi) in enumerate([(0, 3000), (3000, 9000), (9000, 1 << 60)]):  # a part, of as many files as it takes, is there before the next: the stream goes on with a batch of it
+        rows.where((F.col("epoch") >= lo) & (F.col("epoch") < hi)).repartition("epoch").write.parquet(f"{files}/part={k}")
+        changes = spark.readStream.schema(rows.schema).parquet(f"{files}/part=*")
+        I.apply_changes(changes.withColumn("gone", V.is_tombstone()), path, "user_id", "epoch", "gone", checkpoint).awaitTermination()
     return I.latest_snapshot(spark, path).select("user_id", "event_type")
 
 

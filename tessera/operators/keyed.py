@@ -119,8 +119,8 @@ def prefix_scan(df: DataFrame, key: str, prefix: str, where: Column | None = Non
 
 def one_per_key(rows: DataFrame, key: str, newest: str | None = None) -> DataFrame:
     """One row of each key: the one with the largest ``newest``, or else the largest in all columns."""
-    by = F.struct(*([newest] if newest else []), *[c for c in rows.columns if c not in (key, newest)])
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), by).alias("_row")).select("_row.*")
+    by = dict.fromkeys([*([newest] if newest else []), *[c for c in rows.columns if c != key], key])
+    return rows.groupBy(key).agg(F.max(F.struct(*by)).alias("_row")).select("_row.*").select(*rows.columns)
 
 
 def without_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -2,13 +2,14 @@ import math
 import os
 import random
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tessera import queries
+from tessera import further_queries, queries
 
 
 @pytest.fixture(scope="module")
@@ -76,6 +77,28 @@ def test_bloom_membership_looks_parts_up_by_word(spark, sf_dir):
     assert "LeftAnti" in plan and "collect_list" not in plan and "NestedLoop" not in plan
 
 
+def test_keyed_stream_takes_a_part_in_many_files_as_one_batch(spark, tmp_path, monkeypatch):
+    # User 1 has a change in each part and user 2 goes in the last one; the rest is there so that parts fill all files.
+    events = [(1, 1, "a"), (2, 2, "b"), (2000, 1, "c"), (5000, 1, "d"), (4998, 2, "gone")] + [(k, 100 + k, "x") for k in range(6000, 6400)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    made = []
+    monkeypatch.setattr(further_queries, "folder", lambda _: made.append(f"{tmp_path}/work-{len(made)}") or made[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r.user_id: r.event_type for r in entry.queries()["stream_keyed_changes"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == {1: "d"} | {u: "x" for k, u, _ in events[5:] if k % 7}
+    parts = [sorted(Path(tmp_path).glob(f"work-*/part={k}/*.parquet")) for k in range(3)]
+    assert len(parts[2]) == 4
+    assert len(list(Path(tmp_path).glob("work-*/snapshot=*"))) == 3
+
+
+def test_keyed_stream_of_no_changes(spark, tmp_path):
+    spark.createDataFrame([], "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    assert entry.queries()["stream_keyed_changes"](spark, str(tmp_path)).collect() == []
+
+
 def test_page_floor_takes_all_orders(spark, tmp_path):
     spark.createDataFrame([(601, 1), (703, 2), (704, 3), (790, 4)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     assert [tuple(r) for r in entry.queries()["page_floor"](spark, str(tmp_path)).collect()] == [(703, 2)]
