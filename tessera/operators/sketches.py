@@ -83,24 +83,20 @@ def bloom_size(items: int, false_positives: float) -> tuple[int, int]:
     return bits, max(1, math.floor(math.log(2) * bits / items))
 
 
-def bloom_pair(item: Column, bits: int, pair: Hashes = by_xxhash) -> tuple[Column, Column]:
+def bloom_pair(item: Column, bits: int, pair: Hashes = by_xxhash) -> dict[str, Column]:
     """What an item's positions follow from: both hashes modulo the bits."""
-    return tuple(F.pmod(h, F.lit(bits)) for h in pair(item))
+    return {name: F.pmod(h, F.lit(bits)) for name, h in zip(("_a", "_b"), pair(item), strict=True)}
 
 
-def bloom_places(a: Column, b: Column, bits: int, hashes: int) -> Column:
-    """Bit positions by double hashing."""
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda k: F.pmod(a + k * b, F.lit(bits)))
-
-
-def bloom_positions(item: Column, bits: int, hashes: int, pair: Hashes = by_xxhash) -> Column:
-    """The item's bit positions by double hashing."""
-    return bloom_places(*bloom_pair(item, bits, pair), bits, hashes)
+def bloom_places(pairs: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """pairs with ``_p``, a row a bit position by double hashing; items are not hashed anew for each of them."""
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))).alias("_k")
+    return pairs.select("*", numbers).withColumn("_p", F.pmod(F.col("_a") + F.col("_k") * F.col("_b"), F.lit(bits))).drop("_k")
 
 
 def bloom_filter(df: DataFrame, item: str, bits: int, hashes: int, pair: Hashes = by_xxhash) -> DataFrame:
     """(word, mask): the filter as words of 32 bits; bits / 32 rows at most, merged before the shuffle."""
-    set_bits = df.select(F.explode(bloom_positions(F.col(item), bits, hashes, pair)).alias("_p"))
+    set_bits = bloom_places(df.select(*(h.alias(name) for name, h in bloom_pair(F.col(item), bits, pair).items())), bits, hashes)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_p", F.lit(32)).cast("int"))
     return set_bits.select(floor_div(F.col("_p"), 32).alias("word"), bit.alias("_bit")).groupBy("word").agg(F.bit_or("_bit").alias("mask"))
 
@@ -120,9 +116,9 @@ def bloom_maybe(df: DataFrame, item: str, bloom: DataFrame, bits: int, hashes: i
     met in a shuffle.
     """
     words = bits // 32 + 1
-    told = df.withColumns({name: F.when(F.col(item).isNotNull(), h) for name, h in zip(("_a", "_b"), bloom_pair(F.col(item), bits, pair), strict=True)})
-    hashed = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    places = told.where(hashed).select("_a", "_b").distinct().withColumn("_p", F.explode(bloom_places(F.col("_a"), F.col("_b"), bits, hashes)))
+    told = df.withColumns({name: F.coalesce(h, F.lit(-1)) for name, h in bloom_pair(F.col(item), bits, pair).items()})  # never null, so no join tests it for null by hashing twice
+    hashed = F.col(item).isNotNull() & (F.col("_a") >= 0) & (F.col("_b") >= 0)
+    places = bloom_places(told.select("_a", "_b").distinct(), bits, hashes)
     is_set = (floor_div(F.col("_p"), 32) == F.col("word")) & (F.getbit("mask", F.pmod("_p", F.lit(32)).cast("int")) == 1)
     unset = places.join(F.broadcast(bloom) if 96 * words <= most_bytes else bloom, is_set, "left_anti")
     missed = unset.select(F.col("_a").alias("_missed_a"), F.col("_b").alias("_missed_b")).distinct()

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -296,6 +297,24 @@ def test_bloom_lookups_carry_no_whole_filter(spark):
         assert ("BroadcastHashJoin" in plan and "LeftAnti, BuildRight" in plan) or most_bytes == 0
 
 
+def test_bloom_items_are_hashed_once_for_all_positions(spark):
+    items = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "s string")
+    probes = spark.createDataFrame([("a",), ("zz",), ("no hash",), (None,)], "s string")
+    bits, hashes = sketches.bloom_size(1000, 0.01)
+    bloom = sketches.bloom_filter(items, "s", bits, hashes, sketches.by_md5)
+    of = lambda s: [int(hashlib.md5(s.encode()).hexdigest()[k : k + 8], 16) % bits for k in (0, 8)]
+    places = {(a + k * b) % bits for a, b in map(of, "ab") for k in range(hashes)}
+    assert {32 * r.word + k for r in bloom.collect() if r.word is not None for k in range(32) if r["mask"] >> k & 1} == places
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan(bloom) and plan(bloom).count("md5(") == 2
+    for most_bytes in (1 << 20, 0):
+        out = sketches.bloom_maybe(probes, "s", spark.createDataFrame(bloom.collect(), bloom.schema), bits, hashes, sketches.by_md5, most_bytes)
+        assert plan(out).count("md5(") == 4  # a pair to look up, and a pair for what was found
+        none = lambda c: tuple(F.when(c != "no hash", h) for h in sketches.by_md5(c))
+        found = [dict(map(tuple, sketches.bloom_maybe(probes, "s", bloom, bits, hashes, pair, most_bytes).collect())) for pair in (sketches.by_md5, none)]
+        assert found == [{"a": True, "zz": False, "no hash": False, None: False}] * 2
+
+
 def test_components_merge_when_due(spark, tmp_path):
     from tessera.streaming.ingest import VersionedFolder
 
